@@ -48,38 +48,53 @@ def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class WordTable:
-    """Distinct words met so far and their ids; starts anew past `limit` words, so memory is bounded."""
+    """Distinct words met so far and their ids. Past `limit` words those that few portions used go, so memory is bounded."""
 
-    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 1_000_000):
+    def __init__(self, vocabulary: str = VOCABULARY, limit: int = 500_000):
         self.tokenizer, self.limit = load(vocabulary), limit
-        self._clear()
+        self._start({}, np.zeros(0, np.int32), np.zeros(0, np.int64))
 
-    def _clear(self):
-        self.index: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.starts, self.counts = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+    def _start(self, index: dict[str, int], flat: np.ndarray, counts: np.ndarray):
+        self.index, self.flat, self.used = index, flat, len(flat)
+        self.counts, self.starts = counts, np.cumsum(counts) - counts
+        self.hits = np.ones(len(counts), np.int32)
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         if n <= len(a):
             return a
-        out = np.zeros(max(n, 2 * len(a)), a.dtype)
+        out = np.zeros(max(n, len(a) * 3 // 2, 1 << 14), a.dtype)
         out[: len(a)] = a
         return out
 
+    def _thin(self, room: int) -> None:
+        n = len(self.index)
+        for least in (2, 4, 16):
+            kept = np.flatnonzero(self.hits[:n] >= least)
+            if len(kept) <= room:
+                break
+        else:
+            kept = kept[:0]
+        counts = self.counts[kept]
+        flat = self.flat[np.repeat(self.starts[kept] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        words = list(self.index)
+        self._start({words[i]: j for j, i in enumerate(kept.tolist())}, flat, counts)
+
     def add(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.index]
         if len(self.index) + len(new) > self.limit and self.index:
-            self._clear()
-            new = list(words)
+            self._thin(self.limit // 2)
+            new = [w for w in words if w not in self.index]
         if not new:
             return
         flat, counts = encode_words(self.tokenizer, new)
         n, m = len(self.index), len(new)
-        self.flat, self.starts, self.counts = self._room(self.flat, self.used + len(flat)), self._room(self.starts, n + m), self._room(self.counts, n + m)
+        self.flat = self._room(self.flat, self.used + len(flat))
+        self.starts, self.counts, self.hits = (self._room(a, n + m) for a in (self.starts, self.counts, self.hits))
         self.flat[self.used : self.used + len(flat)] = flat
         self.starts[n : n + m] = self.used + np.cumsum(counts) - counts
         self.counts[n : n + m] = counts
+        self.hits[n : n + m] = 0
         self.used += len(flat)
         self.index.update(zip(new, range(n, n + m)))
 
@@ -90,6 +105,8 @@ class WordTable:
         sizes = np.array([len(w) for w in split], np.int64)
         get = self.index.__getitem__
         k = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        seen = np.bincount(k, minlength=len(self.index)) > 0
+        self.hits[: len(seen)] += seen
         counts = self.counts[k]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
@@ -108,7 +125,7 @@ def shared_table(vocabulary: str = VOCABULARY) -> WordTable:
     return _tables[vocabulary]
 
 
-def in_portions(texts: list[str], limit: int = 4_000_000):
+def in_portions(texts: list[str], limit: int = 2_000_000):
     """(first, texts) portions of at most `limit` characters, or one longer text."""
     lo = size = 0
     for i, t in enumerate(texts):
