@@ -47,15 +47,28 @@ def encode_words(tokenizer, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(flat), np.concatenate(counts)) if flat else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
+class _Index(dict):
+    """Word to row; a word it lacks gets the next row and waits in `new` for its ids."""
+
+    def __init__(self, words=()):
+        super().__init__(zip(words, range(len(words))))
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        row = self[word] = len(self)
+        self.new.append(word)
+        return row
+
+
 class WordTable:
     """Distinct words met so far and their ids. Past `limit` words those that few portions used go, so memory is bounded."""
 
     def __init__(self, vocabulary: str = VOCABULARY, limit: int = 500_000):
         self.tokenizer, self.limit = load(vocabulary), limit
-        self._start({}, np.zeros(0, np.int32), np.zeros(0, np.int64))
+        self._start([], np.zeros(0, np.int32), np.zeros(0, np.int64))
 
-    def _start(self, index: dict[str, int], flat: np.ndarray, counts: np.ndarray):
-        self.index, self.flat, self.used = index, flat, len(flat)
+    def _start(self, words: list[str], flat: np.ndarray, counts: np.ndarray):
+        self.index, self.flat, self.used = _Index(words), flat, len(flat)
         self.counts, self.starts = counts, np.cumsum(counts) - counts
         self.hits = np.ones(len(counts), np.int32)
 
@@ -78,33 +91,32 @@ class WordTable:
         counts = self.counts[kept]
         flat = self.flat[np.repeat(self.starts[kept] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
         words = list(self.index)
-        self._start({words[i]: j for j, i in enumerate(kept.tolist())}, flat, counts)
+        self._start([words[i] for i in kept.tolist()], flat, counts)
 
-    def add(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > self.limit and self.index:
-            self._thin(self.limit // 2)
-            new = [w for w in words if w not in self.index]
+    def _fill(self) -> None:
+        """Ids for the words that wait."""
+        new, self.index.new = self.index.new, []
         if not new:
             return
         flat, counts = encode_words(self.tokenizer, new)
-        n, m = len(self.index), len(new)
+        m, size = len(new), len(self.index)
         self.flat = self._room(self.flat, self.used + len(flat))
-        self.starts, self.counts, self.hits = (self._room(a, n + m) for a in (self.starts, self.counts, self.hits))
+        self.starts, self.counts, self.hits = (self._room(a, size) for a in (self.starts, self.counts, self.hits))
         self.flat[self.used : self.used + len(flat)] = flat
-        self.starts[n : n + m] = self.used + np.cumsum(counts) - counts
-        self.counts[n : n + m] = counts
-        self.hits[n : n + m] = 0
+        self.starts[size - m : size] = self.used + np.cumsum(counts) - counts
+        self.counts[size - m : size] = counts
+        self.hits[size - m : size] = 0
         self.used += len(flat)
-        self.index.update(zip(new, range(n, n + m)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         split = [split_words(t) for t in texts]
-        self.add(set().union(*split) if split else set())
+        if len(self.index) > self.limit:
+            self._thin(self.limit // 2)
         sizes = np.array([len(w) for w in split], np.int64)
         get = self.index.__getitem__
         k = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        self._fill()
         seen = np.bincount(k, minlength=len(self.index)) > 0
         self.hits[: len(seen)] += seen
         counts = self.counts[k]
