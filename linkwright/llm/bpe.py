@@ -14,7 +14,6 @@ import zlib
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,39 +21,36 @@ from pyspark.sql import functions as F
 from ._shared import blocks_for, table, text_bytes
 from .wordbpe import VOCABULARY, encode_words, load, split_words
 
-_BLOCK = 12 << 20  # bytes of text in a block
+_BLOCK = 26 << 20  # bytes of text in a block
 _SEP = "\n"  # never inside a word
 
 
 def _asked(texts: list[str], parts: int) -> list[list[str]]:
     """A block's distinct words, for each part of the table, in an order that depends on the words alone."""
-    words = sorted(set().union(*map(split_words, texts))) if texts else []
-    out: list[list[str]] = [[] for _ in range(parts)]
-    for w, h in zip(words, map(xxhash.xxh32_intdigest, words)):
-        out[h % parts].append(w)
-    return out
+    words = list(set().union(*map(split_words, texts))) if texts else []
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    order = np.lexsort((h, h % np.uint64(parts)))
+    if (h[order][1:] == h[order][:-1]).any():  # equal hashes: the words themselves decide
+        order = np.array(sorted(range(len(words)), key=lambda i: (int(h[i]) % parts, int(h[i]), words[i])), np.int64)
+    cuts = np.searchsorted((h % np.uint64(parts))[order], np.arange(1, parts), "left")
+    return [[words[i] for i in own.tolist()] for own in np.split(order, cuts)]
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Compressed, in the fewest bytes that hold the largest; the first byte tells how many."""
+    width = 1 if not len(a) or a.max() < 1 << 8 else 2 if a.max() < 1 << 16 else 4
+    return bytes([width]) + zlib.compress(a.astype(f"<u{width}").tobytes(), 3)
 
 
-def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+def _unpack(b: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(b[1:]), f"<u{b[0]}")
 
 
 def _requests(parts: int):
-    def ask(batches):
-        held: dict[int, list[str]] = {}
-        for b in batches:  # a task holds the blocks that hash to it: one, as a rule
-            for k, t in zip(b.column("block").to_pylist(), b.column("text").to_pylist()):
-                held.setdefault(k, []).append(t or "")
-        for k in sorted(held):
-            asked = _asked(held.pop(k), parts)
-            some = [p for p in range(parts) if asked[p]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([zlib.compress(_SEP.join(asked[p]).encode(), 1) for p in some], pa.binary())],
-                names=["block", "part", "words"])
+    def ask(docs: pd.DataFrame) -> pd.DataFrame:
+        asked = _asked([t or "" for t in docs["text"]], parts)
+        some = [p for p in range(parts) if asked[p]]
+        return pd.DataFrame({"block": int(docs["block"].iloc[0]), "part": some, "words": [zlib.compress(_SEP.join(asked[p]).encode(), 3) for p in some]})
 
     return ask
 
@@ -72,48 +68,48 @@ def _answers(vocabulary: str):
             k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
             n = counts[k]
             ids = flat[np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            rows.append((block, pdf["part"].iloc[0], _pack(n.astype("<u4")), _pack(ids.astype("<u4"))))
+            rows.append((block, pdf["part"].iloc[0], _pack(n), _pack(ids)))
         return pd.DataFrame(rows, columns=["block", "part", "counts", "ids"])
 
     return answer
 
 
-def _joined(vocabulary: str, parts: int):
+def _joined(vocabulary: str, parts: int, digests: bool):
     def join(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        texts = [t or "" for t in docs["text"]]
+        names, texts = docs["doc_id"], [t or "" for t in docs.pop("text")]
         tokenizer = load(vocabulary)
-        number = {i: str(i) for i in range(tokenizer.get_vocab_size())}
-        piece = {i: p for p, i in tokenizer.get_vocab().items()}
+        number = [str(i) for i in range(tokenizer.get_vocab_size())]
+        piece = list(map(tokenizer.id_to_token, range(len(number))))
         asked = _asked(texts, parts)
-        ids_of, pieces_of, count_of = {}, {}, {}
+        del docs
+        at, id_text, piece_text, sizes = {}, [], [], []
         for part, counts, ids in zip(answers["part"], answers["counts"], answers["ids"]):
-            n, flat = _unpack(counts, "<u4").tolist(), _unpack(ids, "<u4").tolist()
+            n, flat = _unpack(counts).tolist(), _unpack(ids).tolist()
+            at.update(zip(asked[part], range(len(sizes), len(sizes) + len(n))))
             numbers, pieces, lo = list(map(number.__getitem__, flat)), list(map(piece.__getitem__, flat)), 0
-            for w, m in zip(asked[part], n):
+            for m in n:
                 hi = lo + m
-                ids_of[w], pieces_of[w], count_of[w] = " ".join(numbers[lo:hi]), " ".join(pieces[lo:hi]), m
+                id_text.append(numbers[lo] if m == 1 else " ".join(numbers[lo:hi]))
+                piece_text.append(pieces[lo] if m == 1 else " ".join(pieces[lo:hi]))
                 lo = hi
+            sizes += n
+        some = min(sizes, default=1) == 0  # words without ids leave no space behind
+        total = np.array(sizes, np.int64)
         rows = []
-        for doc_id, text in zip(docs["doc_id"], texts):
-            words = split_words(text)
-            ids = " ".join(filter(None, map(ids_of.__getitem__, words)))
-            decoded = " ".join(filter(None, map(pieces_of.__getitem__, words)))
-            rows.append((doc_id, sum(map(count_of.__getitem__, words)), ids, decoded))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"])
+        for doc_id, text in zip(names, texts):
+            rows_of = list(map(at.__getitem__, split_words(text)))
+            ids, decoded = map(id_text.__getitem__, rows_of), map(piece_text.__getitem__, rows_of)
+            if some:
+                ids, decoded = filter(None, ids), filter(None, decoded)
+            both = (" ".join(x) for x in (ids, decoded))
+            if digests:  # text by text: a block's ids and pieces needn't be held at once
+                both = (hashlib.sha256(x.encode()).hexdigest() for x in both)
+            rows.append((doc_id, int(total[rows_of].sum()) if rows_of else 0, *both))
+        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"]).rename(columns={"ids": "ids_sha256", "decoded": "decoded_sha256"} if digests else {})
 
     return join
 
 
-def _digest(join):
-    def digest(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = join(docs, answers)
-        for c in ("ids", "decoded"):
-            out[f"{c}_sha256"] = [hashlib.sha256(x.encode()).hexdigest() for x in out.pop(c)]
-        return out
-
-    return digest
-
-
 def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digests: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids (decimal, joined by a space), decoded (the decoder's text).
 
@@ -123,11 +119,10 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digests: bool =
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = blocks_for(text_bytes(own), _BLOCK)
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.mapInArrow(_requests(blocks), "block int, part int, words binary")
+    asked = dealt.groupBy("block").applyInPandas(_requests(blocks), "block int, part int, words binary")
     answers = asked.groupBy("part").applyInPandas(_answers(vocabulary), "block int, part int, counts binary, ids binary")
-    join = _joined(vocabulary, blocks)
     shape = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_digest(join) if digests else join, shape)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_joined(vocabulary, blocks, digests), shape)
 
 
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
