@@ -1,4 +1,486 @@
 """Queries by name and their SQL."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import similarity as S
+from ..functions import text as T
+from ..functions import vocabulary as V
+from ..operators import audit, blocking, decide, features, models, records
+from ..sources import tables
+from .views import DOC, DOC_TRUTH, LI, LI_TRUTH, PART, PARTX, doc, doc_truth, li, li_truth, part, partx, table
+
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _map(pairs: dict[str, str]) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
+
+
+def _r(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# ---- normalisation -------------------------------------------------------------------------------------------------
+_FOLD_SQL = "replace(replace(translate({}, '%s', '%s'), 'ß', 'ss'), 'œ', 'oe')" % V.FOLD
+
+
+@query(f"SELECT doc_id, {_FOLD_SQL.format('substr(text, 1, 200)')} AS folded FROM documents")
+def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.ascii_fold(F.substring("text", 1, 200)).alias("folded"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in V.NAME_STOP) + "]"
+_CLEAN = r"""regexp_replace(regexp_replace(replace(replace(lower(name), '&', ' and '), '+', ' plus '), '\(\s*id[:\s]*\d+\s*\)|#\s*\d+|\bid[:\s]+\d+', ' ', 'g'), '\.(com|net|org|in|co)\b', ' \1', 'g')"""
+_ALIAS = T.ALIAS.replace("'", "''")
+_LEET = "CASE WHEN regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9]') THEN translate(t, '%s', '%s') ELSE t END" % V.LEET
+
+
+def _tokens_sql(s: str) -> str:
+    return f"list_transform(list_transform(regexp_extract_all({s}, '[a-z0-9]+'), lambda t: {_LEET}), lambda t: coalesce(element_at({_map(V.NAME_CANON)}, t)[1], t))"
+
+
+def _core_sql(s: str) -> str:
+    return f"array_to_string(list_filter({_tokens_sql(s)}, lambda t: NOT list_contains({_STOP}, t) AND NOT regexp_full_match(t, '[0-9]+')), ' ')"
+
+
+_SPLIT = f"regexp_replace(s, '{_ALIAS}', chr(1), 'g')"
+
+
+@query(f"WITH {PARTX}, c AS (SELECT id, {_CLEAN} AS s FROM partx) SELECT id, array_to_string({_tokens_sql(f'replace({_SPLIT}, chr(1), chr(32))')}, ' ') AS name_norm, {_core_sql(f'replace({_SPLIT}, chr(1), chr(32))')} AS name_core FROM c")
+def norm_name_core(spark: SparkSession, d: str) -> DataFrame:
+    return partx(spark, d).select("id", T.name_norm(F.col("name")).alias("name_norm"), T.name_core(F.col("name")).alias("name_core"))
+
+
+@query(f"""WITH {PARTX}, c AS (SELECT id, {_CLEAN} AS s FROM partx), p AS (SELECT id, unnest(list_filter(string_split({_SPLIT}, chr(1)), lambda x: trim(x) <> '')) AS part, generate_subscripts(list_filter(string_split({_SPLIT}, chr(1)), lambda x: trim(x) <> ''), 1) AS i FROM c)
+SELECT id, string_agg({_core_sql('part')}, '|' ORDER BY i) AS name_alias FROM p GROUP BY id""")
+def name_alias_parts(spark: SparkSession, d: str) -> DataFrame:
+    return partx(spark, d).select("id", T.name_alias(F.col("name")).alias("name_alias"))
+
+
+_ADDR = f"""a AS (SELECT id, country, string_split(lower(addr), ',') AS parts FROM partx),
+ b AS (SELECT id, country, list_transform(parts, lambda p: CASE WHEN NOT regexp_matches(p, '[0-9]') THEN element_at({_map(V.STATE_BY_KEY)}, country || '|' || array_to_string(regexp_extract_all(p, '[a-z]+'), ' '))[1] END) AS found, parts FROM a),
+ e AS (SELECT id, country, coalesce(list_filter(found, lambda x: x IS NOT NULL)[-1], '') AS addr_state,
+  regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(parts, lambda p, i: found[i] IS NULL), ' , '), '(\\d+)(st|nd|rd|th)\\b', '\\1 ', 'g'), '([0-9])([a-z])', '\\1 \\2', 'g'), '([a-z])([0-9])', '\\1 \\2', 'g') AS s FROM b),
+ t AS (SELECT id, addr_state, list_transform(regexp_extract_all(s, '[a-z0-9]+'), lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN coalesce(nullif(ltrim(t, '0'), ''), '0')
+  ELSE coalesce(element_at({_map(V.ORDINALS)}, t)[1], CASE WHEN country = 'france' THEN element_at({_map(V.FR_ADDR)}, t)[1] END, element_at({_map(V.ADDR_CANON)}, t)[1], t) END) AS toks FROM e)"""
+
+
+@query(f"WITH {PARTX}, {_ADDR} SELECT id, array_to_string(toks, ' ') AS addr_norm, addr_state FROM t")
+def addr_state_strip(spark: SparkSession, d: str) -> DataFrame:
+    a, c = F.col("addr"), F.col("country")
+    return partx(spark, d).select("id", T.addr_norm(a, c).alias("addr_norm"), T.addr_state(a, c).alias("addr_state"))
+
+
+@query(f"""WITH {PARTX}, {_ADDR}, n AS (SELECT id, list_filter(toks, lambda t: regexp_full_match(t, '[0-9]+')) AS nums FROM t)
+SELECT id, array_to_string(list_filter(nums, lambda x, i: list_position(nums, x) = i), ' ') AS addr_nums FROM n""")
+def norm_addr_nums(spark: SparkSession, d: str) -> DataFrame:
+    return partx(spark, d).select("id", T.addr_nums(F.col("addr"), F.col("country")).alias("addr_nums"))
+
+
+@query(f"""WITH {PARTX}, c AS (SELECT id, {_CLEAN} AS s FROM partx), n AS (SELECT id, {_tokens_sql(f'replace({_SPLIT}, chr(1), chr(32))')} AS toks FROM c)
+SELECT id, array_to_string(list_sort(list_distinct(list_filter(list_transform(toks, lambda t: element_at({_map(V.LEGAL)}, t)[1]), lambda x: x IS NOT NULL))), ' ') AS legal FROM n""")
+def legal_form_set(spark: SparkSession, d: str) -> DataFrame:
+    return partx(spark, d).select("id", T.legal_forms(T.name_norm(F.col("name"))).alias("legal"))
+
+
+# ---- blocking ------------------------------------------------------------------------------------------------------
+def _key_sql(view: str, keys: list[str], max_q: int, max_p: int, name: str) -> str:
+    by, full = ", ".join(["country", *keys]), " AND ".join(f"{k} <> ''" for k in keys)
+    return f"""SELECT qi, pi, round(1.0::DOUBLE / np, 6) AS {name}_score, 0 AS {name}_rank FROM
+ (SELECT id qi, {by} FROM (SELECT *, count(*) OVER (PARTITION BY {by}) AS n FROM {view} WHERE is_q AND {full}) WHERE n <= {max_q}) JOIN
+ (SELECT id pi, n AS np, {by} FROM (SELECT *, count(*) OVER (PARTITION BY {by}) AS n FROM {view} WHERE NOT is_q AND {full}) WHERE n <= {max_p}) USING ({by})"""
+
+
+def _key(r: DataFrame, name: str, keys: list[str], caps: tuple[int, int]) -> DataFrame:
+    return blocking.key_pass(name, r.where("is_q"), r.where("not is_q"), keys, *caps)
+
+
+@query(f"WITH {DOC} {_key_sql('doc', ['name'], 3, 30, 'k_name')}")
+def key_pass_name(spark: SparkSession, d: str) -> DataFrame:
+    return _key(doc(spark, d), "k_name", ["name"], (3, 30))
+
+
+_PARTK = PART + ", pk AS (SELECT *, array_to_string(list_sort(string_split(name, ' ')), ' ') AS name_sorted, replace(name, ' ', '') AS name_nosp FROM part_r)"
+
+
+def _partk(spark: SparkSession, d: str) -> DataFrame:
+    return part(spark, d).withColumns({"name_sorted": F.array_join(F.array_sort(F.split("name", " ")), " "), "name_nosp": F.replace("name", F.lit(" "), F.lit(""))})
+
+
+@query(f"WITH {_PARTK} {_key_sql('pk', ['name', 'num1'], 20, 200, 'k_name_num')}")
+def key_pass_name_num(spark: SparkSession, d: str) -> DataFrame:
+    return _key(_partk(spark, d), "k_name_num", ["name", "num1"], (20, 200))
+
+
+@query(f"WITH {_PARTK} {_key_sql('pk', ['name_sorted', 'num1'], 20, 200, 'k_sorted_num')}")
+def key_pass_sorted_num(spark: SparkSession, d: str) -> DataFrame:
+    return _key(_partk(spark, d), "k_sorted_num", ["name_sorted", "num1"], (20, 200))
+
+
+@query(f"WITH {_PARTK} {_key_sql('pk', ['name_nosp', 'num1'], 20, 200, 'k_nosp_num')}")
+def key_pass_nospace_num(spark: SparkSession, d: str) -> DataFrame:
+    return _key(_partk(spark, d), "k_nosp_num", ["name_nosp", "num1"], (20, 200))
+
+
+def _tfidf_sql(tokens: str, min_df: int = 1) -> str:
+    return f"""tk AS (SELECT country, id, is_q, unnest({tokens}) AS token FROM doc), tf AS (SELECT country, id, is_q, token, count(*) c FROM tk GROUP BY ALL),
+ nn AS (SELECT country, count(*) n FROM doc GROUP BY 1), dfs AS (SELECT country, token, count(*) df FROM tf GROUP BY 1, 2 HAVING count(*) BETWEEN {min_df} AND {blocking.MAX_DF}),
+ x AS (SELECT country, id, is_q, token, (1 + ln(c)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS x FROM tf JOIN dfs USING (country, token) JOIN nn USING (country)),
+ w AS (SELECT country, id, is_q, token, x / sqrt(sum(x * x) OVER (PARTITION BY country, id)) AS w FROM x),
+ sc AS (SELECT q.id qi, p.id pi, round(sum(q.w * p.w), 9) AS score FROM w q JOIN w p ON q.country = p.country AND q.token = p.token AND q.is_q AND NOT p.is_q GROUP BY 1, 2)"""
+
+
+_WORDS = r"regexp_extract_all(lower(name || ' ' || addr), '\S+')"
+_GRAMS = "list_transform(generate_series(1, length(replace(name, ' ', '')) - 3), lambda i: substr(replace(name, ' ', ''), i, 4))"
+
+
+def _post(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.postings(doc(spark, d), blocking.words(F.concat_ws(" ", "name", "addr")))
+
+
+@query(f"WITH {DOC}, {_tfidf_sql(_WORDS)} SELECT country, id, is_q, token, round(w, 6) AS w FROM w")
+def tfidf_postings(spark: SparkSession, d: str) -> DataFrame:
+    return _post(spark, d).select("country", "id", "is_q", "token", F.round("w", 6).alias("w"))
+
+
+def _top_sql(name: str, k: int, by: str, tie: str) -> str:
+    return f"SELECT qi, pi, round(score, 6) AS {name}_score, (r - 1)::INT AS {name}_rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {tie}) AS r FROM sc) WHERE r <= {k}"
+
+
+@query(f"WITH {DOC}, {_tfidf_sql(_WORDS)} {_top_sql('comb', 50, 'qi', 'pi')}")
+def tfidf_topk_forward(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.top_k(blocking.scored_pairs(_post(spark, d)), "comb", 50)
+
+
+@query(f"WITH {DOC}, {_tfidf_sql(_WORDS)} {_top_sql('rev', 5, 'pi', 'qi')}")
+def tfidf_topk_reverse(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.top_k(blocking.scored_pairs(_post(spark, d)), "rev", 5, True)
+
+
+@query(f"WITH {DOC}, {_tfidf_sql(_GRAMS, 2)} {_top_sql('name_ch', 12, 'qi', 'pi')}")
+def char4_topk(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.top_k(blocking.scored_pairs(blocking.postings(doc(spark, d), blocking.char_grams(F.replace("name", F.lit(" "), F.lit(""))), min_df=2)), "name_ch", 12)
+
+
+@query(f"""WITH {DOC}, {_tfidf_sql(_WORDS)}, f AS ({_top_sql('comb', 50, 'qi', 'pi')}), r AS ({_top_sql('rev', 5, 'pi', 'qi')}), k AS ({_key_sql('doc', ['name'], 3, 30, 'k_name')})
+SELECT *, (comb_score IS NOT NULL)::INT + (rev_score IS NOT NULL)::INT + (k_name_score IS NOT NULL)::INT AS n_passes FROM f FULL JOIN r USING (qi, pi) FULL JOIN k USING (qi, pi)""")
+def union_passes_full_outer(spark: SparkSession, d: str) -> DataFrame:
+    sc = blocking.scored_pairs(_post(spark, d))
+    return blocking.union_passes({"comb": blocking.top_k(sc, "comb", 50), "rev": blocking.top_k(sc, "rev", 5, True), "k_name": key_pass_name(spark, d)})
+
+
+@query(f"WITH {DOC_TRUTH}, {_tfidf_sql(_WORDS)}, r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY score DESC, pi) AS rn FROM sc), h AS (SELECT rn FROM r SEMI JOIN truth USING (qi, pi) WHERE rn <= 50) SELECT " + ", ".join(f"coalesce(sum((rn <= {n})::INT), 0)::BIGINT AS hit_{n}" for n in (5, 10, 15, 20, 30, 50)) + ", count(*) AS hit_all FROM h")
+def recall_at_n(spark: SparkSession, d: str) -> DataFrame:
+    return audit.recall_at(decide.prune(blocking.scored_pairs(_post(spark, d)), "score", 50), doc_truth(doc(spark, d)))
+
+
+@query(f"WITH {DOC}, {_tfidf_sql(_WORDS)}, k AS ({_key_sql('doc', ['name'], 3, 30, 'k_name')}) SELECT k.qi, k.pi, round(coalesce(score, 0), 6) AS tfidf FROM k LEFT JOIN sc ON k.qi = sc.qi AND k.pi = sc.pi")
+def pair_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return features.cosine(key_pass_name(spark, d).select("qi", "pi"), _post(spark, d), "tfidf")
+
+
+@query(f"WITH {DOC}, f AS (SELECT country, name, count(*) freq FROM doc GROUP BY 1, 2), z AS (SELECT country, count(*) sz FROM doc WHERE NOT is_q GROUP BY 1) SELECT country, name, freq, round(freq::DOUBLE / sz * 1e6, 6) AS freq_rel FROM f LEFT JOIN z USING (country)")
+def name_freq_relative(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.name_frequency(doc(spark, d))
+
+
+@query()
+def generate_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """All ten passes over normalised records; scores of one text serve both directions."""
+    r = partx(spark, d).select("id", F.col("name").alias("business_name"), F.col("addr").alias("business_address"), "country", "is_q")
+    return blocking.generate(records.normalize(r))
+
+
+# ---- features ------------------------------------------------------------------------------------------------------
+_SET = "list_distinct(list_filter(string_split({}, ' '), lambda t: t <> ''))"
+
+
+@query(f"""WITH {DOC}, k AS ({_key_sql('doc', ['name'], 3, 30, 'k_name')}), s AS (SELECT qi, pi, {_SET.format('a.addr')} x, {_SET.format('b.addr')} y FROM k JOIN doc a ON a.id = qi JOIN doc b ON b.id = pi),
+ n AS (SELECT qi, pi, len(list_intersect(x, y)) i, len(x) m, len(y) n FROM s)
+SELECT qi, pi, i::INT AS atok_inter, round(i / nullif(m + n - i, 0)::DOUBLE, 6) AS atok_jacc, round(i / nullif(m, 0)::DOUBLE, 6) AS atok_cont_q, round(i / nullif(n, 0)::DOUBLE, 6) AS atok_cont_c, m::INT AS atok_len_q, n::INT AS atok_len_c FROM n""")
+def token_set_stats(spark: SparkSession, d: str) -> DataFrame:
+    r = doc(spark, d)
+    j = key_pass_name(spark, d).select("qi", "pi").join(r.select(F.col("id").alias("qi"), F.col("addr").alias("a")), "qi").join(r.select(F.col("id").alias("pi"), F.col("addr").alias("b")), "pi")
+    return j.select("qi", "pi", *T.set_stats(F.col("a"), F.col("b"), "atok"))
+
+
+_NP = f"{_PARTK}, k AS ({_key_sql('pk', ['name'], 3, 30, 'k_name')}), j AS (SELECT k.qi, k.pi, a.num1 AS na, b.num1 AS nb, a.brand AS ba, b.brand AS bb, a.name AS x, b.name AS y FROM k JOIN pk a ON a.id = qi JOIN pk b ON b.id = pi)"
+
+
+def _np(spark: SparkSession, d: str) -> DataFrame:
+    r = _partk(spark, d)
+    side = lambda key, e: r.select(F.col("id").alias(key), F.col("num1").alias(f"n{e}"), F.col("brand").alias(f"b{e}"))
+    return _key(r, "k_name", ["name"], (3, 30)).select("qi", "pi").join(side("qi", "a"), "qi").join(side("pi", "b"), "pi")
+
+
+@query(f"WITH {_NP} SELECT qi, pi, levenshtein(na, nb)::INT AS num_lev, (na = nb)::INT AS num_eq, abs(na::DOUBLE - nb::DOUBLE) AS num_absdiff FROM j")
+def levenshtein_num(spark: SparkSession, d: str) -> DataFrame:
+    return _np(spark, d).select("qi", "pi", F.levenshtein("na", "nb").alias("num_lev"), (F.col("na") == F.col("nb")).cast("int").alias("num_eq"), F.abs(F.col("na").try_cast("double") - F.col("nb").try_cast("double")).alias("num_absdiff"))
+
+
+@query(f"WITH {_NP} SELECT qi, pi, round(jaro_winkler_similarity(ba, bb), 6) AS jw FROM j")
+def jaro_winkler_brand(spark: SparkSession, d: str) -> DataFrame:
+    return _np(spark, d).select("qi", "pi", F.round(S.jaro_winkler_udf("ba", "bb"), 6).alias("jw"))
+
+
+def _view(spark: SparkSession, d: str) -> DataFrame:
+    r = records.normalize(partx(spark, d).select("id", F.col("name").alias("business_name"), F.col("addr").alias("business_address"), "country", "is_q"))
+    pairs = blocking.key_pass("k", r.where("is_q"), r.where("not is_q"), ["addr_nums"], 20, 200).select("qi", "pi")
+    return features.pair_view(pairs, r)
+
+
+@query()
+def pair_feature_table(spark: SparkSession, d: str) -> DataFrame:
+    return features.pair_features(features.cheap_features(_view(spark, d)))
+
+
+@query()
+def group_context_sim(spark: SparkSession, d: str) -> DataFrame:
+    return features.group_features(features.cheap_features(_view(spark, d)), "c_n_ratio").select("qi", "pi", "cvc_name", "cvc_addr", "g_same_addr", "g_same_name", "g_size", "g_sim_rank")
+
+
+# ---- windows and decisions -----------------------------------------------------------------------------------------
+_STATS = """SELECT qi, pi, score, row_number() OVER q AS s_q_rank, round(max(score) OVER (PARTITION BY qi) - score, 6) AS s_q_gap_max, count(*) OVER (PARTITION BY qi) AS s_q_n,
+ round(max(score) OVER (PARTITION BY qi) - nth_value(score, 2) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS s_q_gap_2nd, round(sum(score) OVER (PARTITION BY qi), 6) AS s_q_sum,
+ row_number() OVER p AS s_p_rank, round(max(score) OVER (PARTITION BY pi) - score, 6) AS s_p_gap_max, count(*) OVER (PARTITION BY pi) AS s_p_n,
+ round(max(score) OVER (PARTITION BY pi) - nth_value(score, 2) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS s_p_gap_2nd
+ FROM li WINDOW q AS (PARTITION BY qi ORDER BY score DESC, pi), p AS (PARTITION BY pi ORDER BY score DESC, qi)"""
+
+
+@query(f"WITH {LI} {_STATS}")
+def group_stats(spark: SparkSession, d: str) -> DataFrame:
+    g = decide.group_stats(li(spark, d).drop("p"), "score", "s")
+    return g.select("qi", "pi", "score", "s_q_rank", "s_p_rank", "s_q_n", "s_p_n", *_r("s_q_gap_max", "s_q_gap_2nd", "s_q_sum", "s_p_gap_max", "s_p_gap_2nd"))
+
+
+@query(f"WITH {LI} SELECT qi, pi, score FROM (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY score DESC, pi) AS rn FROM li) WHERE rn <= 2")
+def prune_topn(spark: SparkSession, d: str) -> DataFrame:
+    return decide.prune(li(spark, d), "score", 2).select("qi", "pi", "score")
+
+
+_EXCL = "ex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pi ORDER BY p DESC, qi) AS rn FROM {}) WHERE rn = 1)"
+
+
+@query(f"WITH {LI}, {_EXCL.format('li')} SELECT qi, pi, p FROM ex")
+def exclusive_owner(spark: SparkSession, d: str) -> DataFrame:
+    return decide.exclusive(li(spark, d), "p").select("qi", "pi", "p")
+
+
+@query(f"WITH {LI} SELECT qi, pi, p FROM (SELECT *, max(p) OVER (PARTITION BY qi) AS t FROM li) WHERE p >= 0.3 AND p >= 0.8 * t")
+def threshold_rel(spark: SparkSession, d: str) -> DataFrame:
+    return decide.threshold(li(spark, d), "p", 0.3, 0.8).select("qi", "pi", "p")
+
+
+def _ef_sql(source: str) -> str:
+    return f"""e1 AS (SELECT *, row_number() OVER o AS k, sum(p) OVER (o ROWS UNBOUNDED PRECEDING) AS hits, sum(p) OVER (PARTITION BY qi) AS tot,
+ CASE WHEN max(p) OVER (PARTITION BY qi) >= 1 THEN 0 ELSE exp(sum(CASE WHEN p < 1 THEN ln(1 - p) END) OVER (PARTITION BY qi)) END AS none FROM {source} WHERE p > 0.01 WINDOW o AS (PARTITION BY qi ORDER BY p DESC, pi)),
+ e2 AS (SELECT *, round(1.25 * hits / (k + 0.25 * tot), 12) AS ef FROM e1), e3 AS (SELECT *, max(ef) OVER (PARTITION BY qi) AS best FROM e2),
+ e4 AS (SELECT *, min(CASE WHEN ef = best THEN k END) OVER (PARTITION BY qi) AS kstar FROM e3), chosen AS (SELECT * FROM e4 WHERE k <= kstar AND best > none)"""
+
+
+@query(f"WITH {LI}, {_ef_sql('li')} SELECT qi, pi, p FROM chosen")
+def expected_f_subset(spark: SparkSession, d: str) -> DataFrame:
+    return decide.expected_f(li(spark, d), "p").select("qi", "pi", "p")
+
+
+_F05 = "CASE WHEN ntrue = 0 THEN (np = 0)::INT::DOUBLE WHEN np = 0 OR tp = 0 THEN 0 ELSE 1.25 * tp / (np + 0.25 * ntrue) END"
+
+
+def _macro_sql(pred: str, truth: str) -> str:
+    return f"""m AS (SELECT n.qi, ntrue, coalesce(tp, 0) AS tp, coalesce(np, 0) AS np FROM {truth} n LEFT JOIN (SELECT qi, sum(label) tp, count(*) np FROM {pred} GROUP BY 1) USING (qi))
+SELECT round(avg({_F05}), 6) AS macro_f05, round(sum(tp)::DOUBLE / nullif(sum(np), 0)::DOUBLE, 6) AS pair_precision, round(sum(tp)::DOUBLE / nullif(sum(ntrue), 0)::DOUBLE, 6) AS pair_recall,
+ round(avg(CASE WHEN ntrue = 0 THEN (np = 0)::INT::DOUBLE END), 6) AS singleton_acc, sum(np - tp)::BIGINT AS fp, sum(ntrue - tp)::BIGINT AS fn, count(*) AS n_q FROM m"""
+
+
+@query(f"WITH {LI_TRUTH}, {_EXCL.format('lt')}, {_ef_sql('ex')}, {_macro_sql('chosen', 'nt')}")
+def expected_f_decision(spark: SparkSession, d: str) -> DataFrame:
+    """The whole decision: owners, then subsets by expected F0.5, then the metric."""
+    pairs, truth = li_truth(spark, d)
+    return decide.macro_f05(decide.apply_rule(pairs, "p", "expected_f"), truth)
+
+
+@query(f"WITH {DOC_TRUTH}, k AS ({_key_sql('doc', ['name'], 3, 30, 'k_name')}), pr AS (SELECT k.qi, k.pi, (t.qi IS NOT NULL)::INT AS label FROM k LEFT JOIN truth t ON k.qi = t.qi AND k.pi = t.pi), nt AS (SELECT id qi, count(t.pi) AS ntrue FROM doc LEFT JOIN truth t ON t.qi = id WHERE is_q GROUP BY 1), {_macro_sql('pr', 'nt')}")
+def macro_f05(spark: SparkSession, d: str) -> DataFrame:
+    r = doc(spark, d)
+    truth = doc_truth(r)
+    return decide.macro_f05(audit.labelled(key_pass_name(spark, d).select("qi", "pi"), truth), tables.truth_counts(r.where("is_q").select(F.col("id").alias("qi")), truth))
+
+
+_GRID = (0.2, 0.4, 0.6, 0.8)
+
+
+@query(f"""WITH {LI_TRUTH}, {_EXCL.format('lt')}, b AS (SELECT 0 AS excl, qi, p, label FROM lt UNION ALL SELECT 1, qi, p, label FROM ex), g AS (SELECT excl, t, qi, sum(label) tp, count(*) np FROM b, (VALUES {', '.join(f'({t}::DOUBLE)' for t in _GRID)}) v(t) WHERE p >= t GROUP BY 1, 2, 3),
+ a AS (SELECT excl, t, nt.qi, ntrue, coalesce(tp, 0) tp, coalesce(np, 0) np FROM nt CROSS JOIN (SELECT DISTINCT excl, t FROM g) LEFT JOIN g USING (excl, t, qi)) SELECT excl, t, round(avg({_F05}), 6) AS macro_f05 FROM a GROUP BY 1, 2""")
+def rule_grid(spark: SparkSession, d: str) -> DataFrame:
+    pairs, truth = li_truth(spark, d)
+    return decide.rule_grid(pairs, truth, "p", list(_GRID))
+
+
+@query(f"""WITH {LI}, r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pi) AS r, (row_number() OVER (PARTITION BY pi ORDER BY p DESC, qi) = 1)::INT AS ex FROM li)
+SELECT qi, coalesce(max(p) FILTER (r = 1), 0) AS p1, coalesce(max(p) FILTER (r = 2), 0) AS p2, coalesce(max(p) FILTER (r = 3), 0) AS p3, count(*) AS n, round(sum(p), 6) AS sp, sum((p > 0.5)::INT)::BIGINT AS n5, sum((p > 0.1)::INT)::BIGINT AS n1,
+ round(sum(ln(greatest(1 - p, 1e-6))), 6) AS lp, sum(ex)::BIGINT AS n_ex, round(coalesce(sum(p) FILTER (ex = 1), 0), 6) AS sp_ex, coalesce(max(p) FILTER (ex = 1), 0) AS p1_ex, sum((p > 0.5 AND ex = 1)::INT)::BIGINT AS n5_ex,
+ round(coalesce(sum(ln(greatest(1 - p, 1e-6))) FILTER (ex = 1), 0), 6) AS lp_ex FROM r GROUP BY qi""")
+def entity_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    a = decide.aggregates(li(spark, d), "p", li(spark, d))
+    return a.select("qi", "p1", "p2", "p3", "n", "n5", "n1", "n_ex", "p1_ex", "n5_ex", *_r("sp", "lp", "sp_ex", "lp_ex"))
+
+
+_VOTES = LI + ", a AS (SELECT qi, pi FROM li WHERE p >= 0.5), b AS (SELECT qi, pi FROM li WHERE score > 20000), c AS (SELECT qi, pi FROM li WHERE (qi + pi) % 3 = 0)"
+
+
+def _votes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    x = li(spark, d)
+    return x.where("p >= 0.5"), x.where("score > 20000"), x.where("(qi + pi) % 3 = 0")
+
+
+for _rule, _sql in {
+    "e04": "SELECT * FROM a", "majority": "SELECT qi, pi FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY 1, 2 HAVING count(*) >= 2",
+    "e04_and_any": "SELECT * FROM a SEMI JOIN (SELECT * FROM b UNION SELECT * FROM c) USING (qi, pi)", "e02_and_s3": "SELECT * FROM b INTERSECT SELECT * FROM c",
+    "e02_and_e04": "SELECT * FROM a INTERSECT SELECT * FROM b", "all_three": "SELECT * FROM a INTERSECT SELECT * FROM b INTERSECT SELECT * FROM c"}.items():
+    QUERIES[f"vote_{_rule}"] = lambda spark, d, rule=_rule: decide.ensemble(*_votes(spark, d), rule)
+    ORACLE_SQL[f"vote_{_rule}"] = f"WITH {_VOTES} {_sql}"
+
+
+@query(f"WITH {_VOTES} SELECT count(*) AS n, count(b.qi) AS \"both\", round(count(b.qi) / count(*)::DOUBLE, 6) AS share FROM a LEFT JOIN b ON a.qi = b.qi AND a.pi = b.pi")
+def agreement(spark: SparkSession, d: str) -> DataFrame:
+    a, b, _ = _votes(spark, d)
+    return audit.agreement(a, b)
+
+
+@query(f"WITH {_VOTES}, x AS (SELECT *, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) SELECT change, count(*) AS n, round(avg((pi % 2)::DOUBLE) * 100, 2) AS odd_share FROM x GROUP BY 1")
+def diff_profile(spark: SparkSession, d: str) -> DataFrame:
+    a, b, _ = _votes(spark, d)
+    return audit.added_removed(a, b).groupBy("change").agg(F.count("*").alias("n"), F.round(F.avg((F.col("pi") % 2).cast("double")) * 100, 2).alias("odd_share"))
+
+
+@query(f"WITH {LI}, l AS (SELECT qi, string_agg(pi::VARCHAR, ',' ORDER BY pi::VARCHAR) AS ids FROM (SELECT DISTINCT qi, pi FROM li WHERE p >= 0.5) GROUP BY 1) SELECT q.qi, coalesce(ids, '') AS matched_entity_ids FROM (SELECT DISTINCT qi FROM li) q LEFT JOIN l USING (qi)")
+def list_sink_view(spark: SparkSession, d: str) -> DataFrame:
+    x = li(spark, d)
+    return tables.answer_lists(x.select("qi").distinct(), x.where("p >= 0.5"))
+
+
+_DL = "dl AS (SELECT doc_id, lang, n_chars, length(text) - length(replace(text, '!', '')) AS bangs, quality FROM documents JOIN labels USING (doc_id))"
+
+
+def _dl(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars", (F.length("text") - F.length(F.replace("text", F.lit("!"), F.lit("")))).cast("bigint").alias("bangs"))
+    return docs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
+@query(f"WITH {_DL} SELECT doc_id, round((rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY lang), 6) AS n_chars_pct FROM dl")
+def avg_rank_percentile(spark: SparkSession, d: str) -> DataFrame:
+    return decide.rank_percentile(_dl(spark, d), "n_chars", "lang").select("doc_id", *_r("n_chars_pct"))
+
+
+@query(f"""WITH {_DL}, t AS (SELECT quality, 'n_chars' AS feature, n_chars::DOUBLE v FROM dl UNION ALL SELECT quality, 'bangs', bangs FROM dl), r AS (SELECT *, rank() OVER (PARTITION BY feature ORDER BY v) + (count(*) OVER (PARTITION BY feature, v) - 1) / 2.0::DOUBLE AS r FROM t),
+ s AS (SELECT feature, sum(quality * r) rs, sum(quality)::DOUBLE p, count(*)::DOUBLE n FROM r GROUP BY 1) SELECT feature, round(greatest((rs - p * (p + 1) / 2) / (p * (n - p)), 1 - (rs - p * (p + 1) / 2) / (p * (n - p))), 6) AS auc FROM s""")
+def feature_auc(spark: SparkSession, d: str) -> DataFrame:
+    return decide.auc(_dl(spark, d), ["n_chars", "bangs"], "quality")
+
+
+_CAUSE = f"""{PART}, pr AS (SELECT q.id qi, p.id pi, q.name = p.name AS same_name, q.brand = p.brand AS same_addr, p.addr AS addr_c, q.num1 = p.num1 AS num_eq, (q.name = p.name AND q.num1 = p.num1)::INT AS label
+ FROM part_r q JOIN part_r p ON q.country = p.country AND q.is_q AND NOT p.is_q AND (q.name = p.name OR q.brand = p.brand))"""
+
+
+def _cause(spark: SparkSession, d: str) -> DataFrame:
+    r = part(spark, d)
+    q = r.where("is_q").select(F.col("id").alias("qi"), "country", F.col("name").alias("nq"), F.col("brand").alias("bq"), F.col("num1").alias("mq"))
+    p = r.where("not is_q").select(F.col("id").alias("pi"), "country", F.col("name").alias("nc"), F.col("brand").alias("bc"), F.col("num1").alias("mc"), F.col("addr").alias("addr_c"))
+    # two equi-joins, not one on either key; the second leaves out what the first has found
+    by_name = q.join(p, (q.country == p.country) & (F.col("nq") == F.col("nc"))).drop("country")
+    by_brand = q.join(p, (q.country == p.country) & (F.col("bq") == F.col("bc"))).drop("country").where("nq <> nc")
+    j = by_name.unionByName(by_brand).withColumns({"same_name": F.col("nq") == F.col("nc"), "same_addr": F.col("bq") == F.col("bc"), "num_eq": F.col("mq") == F.col("mc")})
+    return j.withColumn("label", (F.col("same_name") & F.col("num_eq")).cast("int"))
+
+
+@query(f"""WITH {_CAUSE} SELECT CASE WHEN same_name AND same_addr THEN 'same name and address' WHEN addr_c = '' THEN 'no candidate address' WHEN same_name AND NOT num_eq THEN 'house number differs' WHEN same_name THEN 'same name'
+ WHEN same_addr THEN 'same address' ELSE 'other' END AS cause, count(*) AS n FROM pr WHERE label = 0 GROUP BY 1""")
+def fp_cause(spark: SparkSession, d: str) -> DataFrame:
+    return audit.fp_cause(_cause(spark, d))
+
+
+@query(f"WITH {_CAUSE}, h AS (SELECT qi, pi, num_eq, max(num_eq::INT) OVER (PARTITION BY qi) AS s FROM pr WHERE same_name) SELECT qi, pi FROM h WHERE s = 1 AND NOT num_eq")
+def hard_subgroup(spark: SparkSession, d: str) -> DataFrame:
+    return audit.hard_subgroup(_cause(spark, d).where("same_name")).select("qi", "pi")
+
+
+@query(f"WITH {DOC_TRUTH}, {_tfidf_sql(_WORDS)}, c AS ({_top_sql('comb', 2, 'qi', 'pi')}), k AS ({_key_sql('doc', ['name'], 1, 2, 'k_name')}), m AS (SELECT * FROM truth ANTI JOIN k USING (qi, pi)) SELECT CASE WHEN c.qi IS NULL THEN 'blocking' ELSE 'scoring' END AS lost_by, count(*) AS n FROM m LEFT JOIN c USING (qi, pi) GROUP BY 1")
+def fn_split(spark: SparkSession, d: str) -> DataFrame:
+    r = doc(spark, d)
+    return audit.fn_split(doc_truth(r), blocking.top_k(blocking.scored_pairs(_post(spark, d)), "comb", 2), _key(r, "k_name", ["name"], (1, 2)))
+
+
+@query(f"""WITH {LI}, x AS (SELECT qi, pi, round(1 - p, 2) AS pf, (score > 20000)::INT AS candidate FROM li), m AS (SELECT avg(pf) AS mean FROM x WHERE candidate = 1), f AS (SELECT qi, pi, round(greatest(0, least(1, pf * {audit.TARGET} / mean)), 9) AS f FROM x, m)
+SELECT qi, pi, round(f * {audit.GAIN} - (1 - f) * {audit.LOSS}, 6) AS gain, CASE WHEN f > {audit.LOSS} / ({audit.GAIN} + {audit.LOSS}) THEN 'remove' WHEN f < 0.05 THEN 'rescue' ELSE 'keep' END AS action FROM f""")
+def calibrated_removal(spark: SparkSession, d: str) -> DataFrame:
+    x = li(spark, d).select("qi", "pi", F.round(1 - F.col("p"), 2).alias("pf"), (F.col("score") > 20000).cast("int").alias("candidate"))
+    return audit.calibrated_removal(x).select("qi", "pi", "gain", "action")
+
+
+@query(f"""WITH {_VOTES}, q AS (SELECT DISTINCT qi FROM li WHERE qi % 5 <> 0), p AS (SELECT DISTINCT pi FROM li WHERE pi % 5 <> 0) SELECT 'unknown query' AS violation, count(*) AS n FROM a ANTI JOIN q USING (qi) UNION ALL SELECT 'unknown pool id', count(*) FROM a ANTI JOIN p USING (pi)
+ UNION ALL SELECT 'repeated pair', count(*) FROM (SELECT 1 FROM a GROUP BY qi, pi HAVING count(*) > 1) UNION ALL SELECT 'not a candidate', count(*) FROM a ANTI JOIN b USING (qi, pi)
+ UNION ALL SELECT 'several owners', count(*) FROM (SELECT pi FROM (SELECT DISTINCT qi, pi FROM a) GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated query', 0""")
+def integrity_violations(spark: SparkSession, d: str) -> DataFrame:
+    a, b, _ = _votes(spark, d)
+    x = li(spark, d)
+    return audit.integrity(a.select("qi", "pi"), b.select("qi", "pi"), x.select("qi").distinct().where("qi % 5 <> 0"), x.select("pi").distinct().where("pi % 5 <> 0"))
+
+
+@query(r"""WITH z AS (SELECT regexp_extract_all(lower(p_name), '[^\s,]+') AS a, regexp_extract_all(p_type, '[^\s,]+') AS b FROM part), e AS (SELECT unnest(a) AS x, unnest(b) AS y FROM (SELECT a, b FROM z WHERE len(a) = len(b) UNION ALL SELECT a[1:len(b)], b FROM z WHERE len(a) > len(b))),
+ c AS (SELECT y, regexp_replace(x, '[^a-z0-9&]', '', 'g') AS x, count(*) n FROM e GROUP BY 1, 2) SELECT y, x, n FROM (SELECT *, row_number() OVER (PARTITION BY y ORDER BY n DESC, x) AS r FROM c) WHERE r = 1 AND n >= 2""")
+def learned_dictionary(spark: SparkSession, d: str) -> DataFrame:
+    # names are cut to as many words as types have, so the two align
+    t = table(spark, d, "part").select(F.lower("p_name").alias("n"), F.col("p_type").alias("b"))
+    size = F.size(records.script_tokens(F.col("b")))
+    a = F.array_join(F.slice(records.script_tokens(F.col("n")), 1, F.greatest(size, F.lit(1))), " ")
+    return records.learned_words(t.select(a.alias("a"), "b"))
+
+
+@query(f"WITH {DOC}, r AS (SELECT id, country, row_number() OVER (PARTITION BY country ORDER BY id) AS r, count(*) OVER (PARTITION BY country) AS n, count(*) OVER () AS total FROM doc) SELECT id, country FROM r WHERE r <= greatest(1, round(n * 300.0::DOUBLE / total))")
+def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
+    return records.stratified_sample(doc(spark, d).select("id", "country"), "country", ["id"], 300)
+
+
+@query(f"WITH {LI} SELECT percentile AS q, v FROM (SELECT 0.5::DOUBLE AS percentile, round(quantile_cont(score, 0.5), 6) AS v FROM li UNION ALL SELECT 0.95, round(quantile_cont(score, 0.95), 6) FROM li UNION ALL SELECT 0.9, round(quantile_disc(p, 0.9), 6) FROM li)")
+def score_quantiles(spark: SparkSession, d: str) -> DataFrame:
+    q = li(spark, d).agg(F.array(*(F.struct(F.lit(a).alias("q"), F.round(F.expr(e), 6).alias("v")) for a, e in ((0.5, "percentile(score, 0.5)"), (0.95, "percentile(score, 0.95)"), (0.9, "percentile_disc(0.9) WITHIN GROUP (ORDER BY p)")))).alias("x"))
+    return q.select(F.inline("x"))
+
+
+# ---- models --------------------------------------------------------------------------------------------------------
+def _model_input(spark: SparkSession, d: str) -> DataFrame:
+    pairs, _ = li_truth(spark, d)
+    return decide.group_stats(pairs, "p", "s").withColumn("odd", F.col("pi") % 7)
+
+
+@query()
+def gbt_oof_stage1(spark: SparkSession, d: str) -> DataFrame:
+    scored, _ = models.out_of_fold(_model_input(spark, d), ["p", "s_q_rank", "s_q_gap_2nd", "odd"], "stage1", models.matcher(3, 3), share=0.3)
+    return scored.select("qi", "pi", "label", "stage1")
+
+
+@query()
+def entity_models(spark: SparkSession, d: str) -> DataFrame:
+    pairs, truth = li_truth(spark, d)
+    return models.entity_models(decide.aggregates(pairs, "p", truth), truth, ["p1", "p2", "n", "sp", "n5"])
+
+
+@query()
+def lr_repair(spark: SparkSession, d: str) -> DataFrame:
+    x = _model_input(spark, d)
+    names = ["p", "s_q_rank", "s_q_gap_2nd", "odd"]
+    return models._scored(models.precision_rule(x, names), models.assembled(x, names), "p_false").select("qi", "pi", "p_false")

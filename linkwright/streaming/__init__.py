@@ -1,0 +1 @@
+"""Nothing streams: the operators this engine covers are all batch."""
