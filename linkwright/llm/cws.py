@@ -82,11 +82,12 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63))).alias("k"), F.col("doc_id").isNull().alias("unnamed"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = blocks_for(text_bytes(own), _PART)
-    dealt = own.withColumns({"th": F.xxhash64("text"), "n": F.length("text").cast("bigint")}).repartition(parts, "k")
+    # nothing but key and text goes through the exchange, so all its readers share it
+    dealt = own.select("k", "text").repartition(parts, "k").withColumns({"th": F.xxhash64("text"), "n": F.length("text").cast("bigint")})
     by = Window.partitionBy("k").orderBy("th")
     single = dealt.withColumns({"nth": F.row_number().over(by), "before": F.lag("th").over(by)}).where("before is null or before <> th").drop("before")
     then = following(own)
-    need = dealt.select("k", "th", F.floor(F.col("n") / 4).cast("int").alias("m")).distinct().join(then, "k").select(F.col("k").alias("to"), F.col("th").alias("to_th"), "m", "nk")
+    need = own.select("k", F.xxhash64("text").alias("th"), F.floor(F.length("text") / 4).cast("int").alias("m")).distinct().join(then, "k").select(F.col("k").alias("to"), F.col("th").alias("to_th"), "m", "nk")
     lent = single.where("nth = 1").join(need, F.col("k") == F.col("nk")).select("to", "to_th", F.expr("left(text, m)").alias("lent"))
     both = single.join(lent, (F.col("k") == F.col("to")) & (F.col("th").bitwiseXOR(F.col("to_th")) == 0)).select("k", "th", "n", "nth", "text", "lent")
     cut = both.withColumn("kept", F.expr("left(text, cast(n - floor(n / 4) as int))")).withColumn("tail", F.expr("substring(text, cast(n - floor(n / 4) + 1 as int))"))
@@ -97,14 +98,14 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         piece(F.expr("left(kept, length(kept) - length(last))"), 1, 1), piece(F.concat("last", "tail"), 1, 0), piece(F.concat("last", "lent"), 0, 1))).alias("p"))
     words = pieces.select("k", "th", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.explode(F.split("p.s", " ")).alias("w")).where("w <> ''")
     terms = words.select("k", "th", F.xxhash64("w").alias("term"), "a", "b").groupBy("k", "th", "term").agg(F.sum("a").alias("wa"), F.sum("b").alias("wb"))
-    sig = staged(signatures(terms, ["k", "th"], {"sa": "wa", "sb": "wb"}, samples), "cws")
+    sig = signatures(terms, ["k", "th"], {"sa": "wa", "sb": "wb"}, samples)
     facts = cut.select("k", "th", "n", "nth", F.sha2(F.concat("kept", "lent"), 256).alias("edited_sha256"))
     known = staged(facts.join(sig.select(F.col("k").alias("sk"), F.col("th").alias("sth"), "sa", "sb"), (F.col("k") == F.col("sk")) & (F.col("th") == F.col("sth")), "left").drop("sk", "sth"), "cws-known")
     after = known.where("nth = 1").select(F.col("k").alias("nk"), F.col("sa").alias("sn"))
     full = known.join(then, "k").join(after, "nk").select(
         F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("n").alias("n_chars"), "edited_sha256", _hex("sa", samples).alias("fingerprint"), _hex("sb", samples).alias("edited_fingerprint"),
         likeness("sa", "sb", samples).alias("near_edited"), likeness("sa", "sn", samples).alias("near_next"))
-    rows = dealt.select("k", "unnamed", "th")
+    rows = own.select("k", "unnamed", F.xxhash64("text").alias("th"))
     return rows.join(full, (F.col("k") == F.col("fk")) & (F.col("th") == F.col("fth"))).select(
         F.when(~F.col("unnamed"), F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
