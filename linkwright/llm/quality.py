@@ -99,11 +99,17 @@ def marginals(unary: np.ndarray, link: np.ndarray, n_lines: np.ndarray) -> tuple
     return 1 / (1 + np.exp(np.clip(g[:, 0] - g[:, 1], -50, 50))), pairs
 
 
+def _logit(p: np.ndarray) -> np.ndarray:
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return np.log(p / (1 - p))
+
+
 class Field:
-    """Weights of the features for good against bad, and of successive labels."""
+    """Weights of the features for good against bad, and of successive labels; scale and shift turn a document's mean
+    marginal into the chance of its label."""
 
-    def __init__(self, weights: np.ndarray, link: np.ndarray):
-        self.weights, self.link = weights, link
+    def __init__(self, weights: np.ndarray, link: np.ndarray, scale: float = 1.0, shift: float = 0.0):
+        self.weights, self.link, self.scale, self.shift = weights, link, scale, shift
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """0 to 1 for each text: mean P(good) of its lines, weighted by one more than their lengths."""
@@ -113,7 +119,8 @@ class Field:
         good, _ = marginals(x @ self.weights, self.link, n_lines)
         weight = size + 1.0
         starts = np.cumsum(n_lines) - n_lines
-        return np.clip(np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts), 0.0, 1.0)
+        mean = np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)
+        return 1 / (1 + np.exp(-np.clip(self.scale * _logit(mean) + self.shift, -50, 50)))
 
 
 def fit(texts: list[str], labels: list[int]) -> Field:
@@ -137,7 +144,20 @@ def fit(texts: list[str], labels: list[int]) -> Field:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, link = weights - move[:width], link - move[width:].reshape(2, 2)
-    return Field(weights, link)
+    field = Field(weights, link)
+    field.scale, field.shift = calibrated(_logit(field.scores(texts)), label)
+    return field
+
+
+def calibrated(z: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of a logistic regression of the labels on z, by Newton steps with a small ridge; never falling in z."""
+    x, w = np.stack([z, np.ones(len(z))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+        grad = x.T @ (p - label) + 0.1 * (w - np.array([1.0, 0.0]))
+        w = w - np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(2), grad)
+        w[0] = max(w[0], 1e-3)
+    return float(w[0]), float(w[1])
 
 
 def in_fold(doc_id: str = "doc_id"):
