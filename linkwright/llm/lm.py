@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ._shared import blocks_for, table, text_bytes
 
 ORDER, BACKOFF, LEAST = 2, 0.4, 2  # an n-gram of two words or more counts as seen from LEAST occurrences on
-_BLOCK = 20 << 20
+_BLOCK = 10 << 20
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,9 +38,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _grams(texts: list[str], order: int) -> tuple[list[np.ndarray], np.ndarray]:
     """For n from 1 to order the hash of the n-gram that ends at each word (0 where the text is too short for it), and words in each text."""
-    known, split = _Words(), [t.encode().lower().split() for t in texts]
-    sizes = np.array([len(w) for w in split], np.int64)
-    h = np.fromiter((x for w in split for x in map(known.__getitem__, w)), np.uint64, int(sizes.sum()))
+    known, each = _Words(), []
+    for t in texts:  # text by text, so only one text's words are held
+        w = t.encode().lower().split()
+        each.append(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))
+    sizes = np.array([len(x) for x in each], np.int64)
+    h = np.concatenate(each) if each else np.zeros(0, np.uint64)
+    del known, each
     place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = [_mix(h + _C)]
     for n in range(2, order + 1):
@@ -79,14 +83,15 @@ def _wide(b: bytes) -> np.ndarray:
 
 def _ask(order: int, parts: int):
     def ask(docs: pd.DataFrame) -> pd.DataFrame:
-        grams, _ = _grams([t or "" for t in docs["text"]], order)
+        block = int(docs["block"].iloc[0])
+        grams, _ = _grams([t or "" for t in docs.pop("text")], order)
         values, counts, _ = _unique(np.concatenate([g[g != 0] if n else g for n, g in enumerate(grams)]))
         at, words = _cuts(values, parts), np.sort(grams[0])
         heads = _cuts(words, parts)
         rows = []
         for p in range(parts):
             own = values[at[p] : at[p + 1]]
-            rows.append((int(docs["block"].iloc[0]), p, _narrow(np.diff(own, prepend=np.uint64(0))), zlib.compress(_narrow(counts[at[p] : at[p + 1]]), 1), int(heads[p + 1] - heads[p])))
+            rows.append((block, p, _narrow(np.diff(own, prepend=np.uint64(0))), zlib.compress(_narrow(counts[at[p] : at[p + 1]]), 1), int(heads[p + 1] - heads[p])))
         return pd.DataFrame(rows, columns=["block", "part", "grams", "counts", "words"])
 
     return ask
@@ -115,7 +120,7 @@ def word_scores(counts: list[np.ndarray], total: int, backoff: float, least: int
 
 def _score(order: int, backoff: float, least: int):
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        grams, sizes = _grams([t or "" for t in docs["text"]], order)
+        grams, sizes = _grams([t or "" for t in docs.pop("text")], order)
         real = [np.ones(len(g), bool) if n == 0 else g != 0 for n, g in enumerate(grams)]
         _, _, inverse = _unique(np.concatenate([g[r] for g, r in zip(grams, real)]))
         answers = answers.sort_values("part")
