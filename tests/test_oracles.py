@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables; rows must agree and exist."""
+"""Every query with SQL against DuckDB on the tables of the correctness gate; rows must agree and exist."""
 
 import glob
 import os
@@ -9,7 +9,7 @@ import pytest
 
 from linkwright.plans.queries import ORACLE_SQL, QUERIES
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
