@@ -38,9 +38,9 @@ def _r(*names: str) -> list:
 _FOLD_SQL = "replace(replace(translate({}, '%s', '%s'), 'ß', 'ss'), 'œ', 'oe')" % V.FOLD
 
 
-@query(f"SELECT doc_id, {_FOLD_SQL.format('substr(text, 1, 200)')} AS folded FROM documents")
+@query(f"SELECT doc_id, {_FOLD_SQL.format('text')} AS folded FROM documents")
 def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.ascii_fold(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", T.ascii_fold(F.col("text")).alias("folded"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in V.NAME_STOP) + "]"

@@ -26,13 +26,15 @@ def li_truth(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return pairs, pairs.groupBy("qi").agg(F.sum("label").alias("ntrue"))
 
 
-DOC = """doc AS (SELECT doc_id id, lang country, lower(substr(split_part(text, chr(10), 1), 1, 60)) AS name, lower(substr(text, 61, 120)) AS addr, lower(trim(text)) AS body, doc_id % 4 = 0 AS is_q FROM documents)"""
+DOC = """doc AS (SELECT doc_id id, lang country, lower(split_part(text, chr(10), 1)) AS name, lower(substr(text, length(split_part(text, chr(10), 1)) + 2)) AS addr, lower(trim(text)) AS body, doc_id % 4 = 0 AS is_q FROM documents)"""
 
 
 def doc(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as records: the first line is the name, all the others are the address."""
+    first = F.substring_index("text", "\n", 1)
     return table(spark, d, "documents").select(
-        F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.lower(F.substring(F.substring_index("text", "\n", 1), 1, 60)).alias("name"),
-        F.lower(F.substring("text", 61, 120)).alias("addr"), F.lower(F.trim("text")).alias("body"), (F.col("doc_id") % 4 == 0).alias("is_q"))
+        F.col("doc_id").alias("id"), F.col("lang").alias("country"), F.lower(first).alias("name"),
+        F.lower(F.substring("text", F.length(first) + 2, F.length("text"))).alias("addr"), F.lower(F.trim("text")).alias("body"), (F.col("doc_id") % 4 == 0).alias("is_q"))
 
 
 #: Truth: equal texts across sides.
