@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import similarity as S
 from linkwright.functions import text as T
-from linkwright.operators import audit, decide, records
+from linkwright.operators import audit, blocking, decide, records
 from linkwright.sources import tables
 
 
@@ -87,3 +87,27 @@ def test_entry_imports_without_llm(monkeypatch):
 
     assert e._optional("linkwright.nothing.queries") is None and e._optional("no_such_module") is None
     assert "expected_f_decision" in e.queries()
+
+
+def test_block_scores_equal_brute_force(spark):
+    r = random.Random(2)
+    rows = [(c, i, i % 3 == 0, t, float(r.randrange(1, 9))) for c in "ab" for i in range(20) for t in r.sample("uvwxyz", 3)] + [("only queries", 99, True, "u", 1.0), ("only pool", 98, False, "u", 1.0)]
+    post = spark.createDataFrame(rows, "country string, id long, is_q boolean, token string, w double")
+    want = {}
+    for c, i, q, t, w in rows:
+        for c2, j, q2, t2, w2 in rows:
+            if q and not q2 and (c, t) == (c2, t2):
+                want[i, j, c] = want.get((i, j, c), 0.0) + w * w2
+    for block in ((2, 3), (512, 4096)):
+        got = blocking.scored_pairs(post, block).collect()
+        assert sorted((x.qi, x.pi, x.score) for x in got) == sorted((i, j, s) for (i, j, _), s in want.items())
+    assert blocking.scored_pairs(post.where("false")).count() == 0
+
+
+def test_char_grams_short_empty_null_and_wide(spark):
+    texts = [None, "", "abc", "ABCD", "aé\U0001f600bcd"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", blocking.char_grams(F.col("t")).alias("g"))
+    got = {x.i: x.g for x in df.collect()}
+    for i, t in enumerate(texts):
+        t = (t or "").lower()
+        assert got[i] == [t[k : k + 4] for k in range(len(t) - 3)]
