@@ -17,6 +17,30 @@ def prune(df: DataFrame, col: str, top: int = 20) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(_best("qi", col, "pi"))).where(F.col("rn") <= top)
 
 
+def with_forced(df: DataFrame, extra: DataFrame) -> DataFrame:
+    """Candidates and those extra pairs that aren't among them, told apart by forced; what an extra pair lacks is null."""
+    more = extra.select("qi", "pi").distinct().join(df.select("qi", "pi"), ["qi", "pi"], "left_anti")
+    return df.withColumn("forced", F.lit(0)).unionByName(more.withColumn("forced", F.lit(1)), allowMissingColumns=True)
+
+
+def union_pool(df: DataFrame, first: str, second: str, top: int = 20) -> DataFrame:
+    """Pairs among a query's top by either score, forced ones always; both ranks share one partitioning by query."""
+    rank = lambda c: F.row_number().over(_best("qi", c, "pi"))
+    d = df.withColumns({"in_first": (rank(first) <= top).cast("int"), "in_second": ((rank(second) <= top) | (F.col("forced") == 1)).cast("int")})
+    return d.where("in_first = 1 or in_second = 1")
+
+
+def candidate_source(df: DataFrame, col: str) -> DataFrame:
+    """What each pool alone and both together bring: pairs, share of true ones, score quantiles and share of unsure scores.
+
+    Quantiles are of scores rounded to six places, so the values that a group counts are bounded.
+    """
+    source = F.when((F.col("in_first") == 1) & (F.col("in_second") == 0), "first only").when((F.col("in_first") == 0) & (F.col("in_second") == 1), "second only").otherwise("both")
+    at = lambda q: F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY round({col}, 6))")
+    unsure = ((F.col(col) > 0.1) & (F.col(col) < 0.9)).cast("double")
+    return df.groupBy(source.alias("src")).agg(F.count("*").alias("n"), F.round(F.avg("label"), 6).alias("pos_rate"), at(0.5).alias("p50"), at(0.9).alias("p90"), F.round(F.avg(unsure), 6).alias("uncertain"))
+
+
 def group_stats(df: DataFrame, col: str, prefix: str) -> DataFrame:
     """Competition of each pair within its query and its pool record: two window specifications, two shuffles."""
     for side, other in (("q", "pi"), ("p", "qi")):

@@ -461,6 +461,42 @@ def score_quantiles(spark: SparkSession, d: str) -> DataFrame:
     return q.select(F.inline("x"))
 
 
+# ---- pools of two models -------------------------------------------------------------------------------------------
+@query(f"WITH {LI}, c AS (SELECT qi, pi, score FROM li WHERE p >= 0.3) SELECT qi, pi, score, 0 AS forced FROM c UNION ALL SELECT qi, pi, NULL, 1 FROM (SELECT qi, pi FROM li WHERE (qi + pi) % 3 = 0) ANTI JOIN c USING (qi, pi)")
+def forced_candidates(spark: SparkSession, d: str) -> DataFrame:
+    x = li(spark, d)
+    return decide.with_forced(x.where("p >= 0.3").select("qi", "pi", "score"), x.where("(qi + pi) % 3 = 0"))
+
+
+_POOL = LI_TRUTH + """, po AS (SELECT *, (row_number() OVER (PARTITION BY qi ORDER BY p DESC, pi) <= 2)::INT AS in_first,
+ (row_number() OVER (PARTITION BY qi ORDER BY score DESC, pi) <= 2 OR (qi + pi) % 17 = 0)::INT AS in_second FROM lt), up AS (SELECT * FROM po WHERE in_first = 1 OR in_second = 1)"""
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    pairs, _ = li_truth(spark, d)
+    return decide.union_pool(pairs.withColumn("forced", ((F.col("qi") + F.col("pi")) % 17 == 0).cast("int")), "p", "score", 2)
+
+
+@query(f"WITH {_POOL} SELECT qi, pi, in_first, in_second FROM up")
+def legacy_union_pool(spark: SparkSession, d: str) -> DataFrame:
+    return _pool(spark, d).select("qi", "pi", "in_first", "in_second")
+
+
+@query(f"""WITH {_POOL} SELECT CASE WHEN in_first = 1 AND in_second = 0 THEN 'first only' WHEN in_first = 0 AND in_second = 1 THEN 'second only' ELSE 'both' END AS src, count(*) AS n, round(avg(label), 6) AS pos_rate,
+ quantile_disc(round(p, 6), 0.5) AS p50, quantile_disc(round(p, 6), 0.9) AS p90, round(avg((p > 0.1 AND p < 0.9)::INT), 6) AS uncertain FROM up GROUP BY 1""")
+def candidate_source(spark: SparkSession, d: str) -> DataFrame:
+    return decide.candidate_source(_pool(spark, d), "p")
+
+
+@query(f"""WITH {LI}, {_EXCL.format('li')}, z AS (SELECT qi, pi, p, (qi % 10) / 10.0::DOUBLE AS p_empty, row_number() OVER w AS k, sum(p) OVER w AS hits, greatest(0.5::DOUBLE, qi % 3 + 0.5::DOUBLE) AS size FROM ex WINDOW w AS (PARTITION BY qi ORDER BY p DESC, pi ROWS UNBOUNDED PRECEDING)),
+ e AS (SELECT *, round(1.25::DOUBLE * hits / (k + 0.25::DOUBLE * size), 12) AS ef FROM z), b AS (SELECT *, max(ef) OVER (PARTITION BY qi) AS best FROM e), s AS (SELECT *, min(CASE WHEN ef = best THEN k END) OVER (PARTITION BY qi) AS kstar FROM b)
+SELECT qi, pi, p FROM s WHERE k <= kstar AND best > 1.2::DOUBLE * p_empty""")
+def entity_decision(spark: SparkSession, d: str) -> DataFrame:
+    x = li(spark, d)
+    entity = x.select("qi").distinct().select("qi", (F.col("qi") % 10 / 10.0).alias("p_empty"), (F.col("qi") % 3 + 0.5).alias("n_hat"))
+    return decide.entity_decide(x, "p", entity).select("qi", "pi", "p")
+
+
 # ---- models --------------------------------------------------------------------------------------------------------
 def _model_input(spark: SparkSession, d: str) -> DataFrame:
     pairs, _ = li_truth(spark, d)
