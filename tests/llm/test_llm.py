@@ -271,6 +271,28 @@ def test_substring_finds_all_repeats(docs, texts):
         assert r.kept_doc_id < r.doc_id and len(own & set(_shingles(texts[r.kept_doc_id]))) >= 0.79 * len(own)
 
 
+def test_substring_first_document_holds_less(spark):
+    rng, rows = np.random.default_rng(3), []
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    for i in range(0, 120, 3):
+        passage = words(55)
+        for k, part in enumerate((passage[:49], passage, passage)):
+            rows.append((i + k, " ".join(words(30) + part + words(30))))
+    found = substring.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r.doc_id, r.kept_doc_id) for r in found} == {(i + 2, i + 1) for i in range(0, 120, 3)}
+
+
+def test_substring_near_finds_all_that_share():
+    rng = np.random.default_rng(4)
+    pool = [rng.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(4)]
+    common = rng.integers(0, 1 << 60, 20).astype(np.uint64)
+    each = [np.concatenate([common, rng.integers(0, 1 << 60, 30).astype(np.uint64), pool[i % 8][rng.integers(0, 12) :] if i % 8 < 4 else common[:0]]) for i in range(80)]
+    near = substring._near(each)
+    for i in range(80):
+        share = {j for j in range(i + 1, 80) if substring.shared_passages(each[j], each[i])}
+        assert share <= set(near(i).tolist()) and (i % 8 < 4 or len(near(i)) == 0)
+
+
 def _shingles(t):
     w = [x.lower() for x in substring._WORD.findall(t)]
     return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
