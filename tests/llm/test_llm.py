@@ -282,6 +282,13 @@ def test_substring_first_document_holds_less(spark):
     assert {(r.doc_id, r.kept_doc_id) for r in found} == {(i + 2, i + 1) for i in range(0, 120, 3)}
 
 
+def test_substring_passage_around_a_replaced_stretch():
+    rng, hashes = np.random.default_rng(5), substring._Hashes()
+    a = [f"w{x}" for x in rng.integers(0, 1 << 40, 90)]
+    b = a[:40] + [f"v{x}" for x in range(10)] + a[50:]
+    assert substring.shared_passages(substring.tokens(a, hashes), substring.tokens(b, hashes)) == [(0, 90)]
+
+
 def test_substring_near_finds_all_that_share():
     rng = np.random.default_rng(4)
     pool = [rng.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(4)]
