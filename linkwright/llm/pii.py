@@ -88,9 +88,12 @@ _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _DIGITS = re.compile(rf"(?i)\b(?:(?:{_WORD})\b[\s,-]{{1,3}}){{2,}}(?:{_WORD})\b")
 _SPELLED = re.compile(rf"(?i)(?:\bplus\b[\s,-]*)?(?:\+\s?)?(?:(?:\b(?:{_WORD})\b|[0-9]+)(?:[\s,-]{{1,3}}|(?=\+)))*\b(?:{_WORD})\b(?:[\s,-]{{1,3}}(?:\b(?:{_WORD})\b|[0-9]+))*")
 _ITEM = re.compile(rf"(?i)(?P<plus>\bplus\b)|(?P<word>\b(?:{_WORD})\b)|(?P<num>[0-9]+)|(?P<keep>\+)|(?P<gap>[\s,-]+)")
-_AT = re.compile(r"(?i)\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+(?=[A-Za-z0-9-]+\s*(?:[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s|\.[A-Za-z0-9]))|\s+@\s*|\s*@\s+")
+_NAMED = rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_END})\b"  # a domain with a known ending
+_AT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|\s+at\s+(?={_NAMED})|\s+@\s*|\s*@\s+")
+# before a disguised dot the bare word needs no known ending; looked for while the dot still shows as one
+_AT_DISGUISED = re.compile(r"(?i)\s+at\s+(?=[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*[A-Za-z0-9])")
 _DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9-]+\s+dot\s|(?:" + _END + r")\b)")
-_HAS_AT = re.compile(r"(?i)[\[({<]\s*(?:at|@)\s*[\])}>]|\s@|@\s")
+_HAS_AT = re.compile(rf"(?i)[\[({{<]\s*(?:at|@)\s*[\])}}>]|\s@|@\s|\sat\s+{_NAMED}")
 _HAS_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s")
 _FOREIGN = re.compile("[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "①-⓿⁰-₟！-～\U0001d400-\U0001d7ff]")
 
@@ -150,22 +153,25 @@ def _digits(m: Mapped) -> Mapped:
     return m.rewrite(_ITEM, to)
 
 
+def _disguised(text: str) -> bool:
+    """Whether _AT or _DOT can match: true wherever one does, so what else a text holds decides nothing."""
+    return bool(_HAS_DOT.search(text) or _HAS_AT.search(text))
+
+
 def normalised(text: str) -> Mapped | None:
     """The rewritten text, or None where no transducer has anything to rewrite."""
     foreign = _FOREIGN.search(text)
     spelled = _DIGITS.search(text)
-    disguised = _HAS_DOT.search(text) or _HAS_AT.search(text)
-    if not (foreign or spelled or disguised):
+    if not (foreign or spelled or _disguised(text)):
         return None
     m = Mapped(text)
     if foreign:
         m = m.rewrite(_FOREIGN, _letter)
         spelled = _DIGITS.search(m.text)
-        disguised = _HAS_DOT.search(m.text) or _HAS_AT.search(m.text)
     if spelled:
         m = _digits(m)
-    if disguised:
-        m = m.rewrite(_DOT, lambda _: ".").rewrite(_AT, lambda _: "@")
+    if _disguised(m.text):
+        m = m.rewrite(_AT_DISGUISED, lambda _: "@").rewrite(_DOT, lambda _: ".").rewrite(_AT, lambda _: "@")
     return m
 
 

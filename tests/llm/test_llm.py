@@ -163,6 +163,16 @@ def test_pii_disguises(text, kind, span):
     assert pii.all_spans(text) == [(kind, text.index(span), text.index(span) + len(span))]
 
 
+@pytest.mark.parametrize("other", ["", " see a [at] b", " a dot b", " he @ home"])
+def test_pii_bare_at_by_its_own_surroundings(other):
+    text = "write to jane at example.com today" + other
+    assert [text[a:b] for _, a, b in pii.all_spans(text)] == ["jane at example.com"]
+    text = "look at node.js today" + other
+    assert pii.all_spans(text) == []
+    text = "ask jane at example [dot] museum today" + other
+    assert [text[a:b] for _, a, b in pii.all_spans(text)] == ["jane at example [dot] museum"]
+
+
 def test_pii_leaves_prose_alone():
     for t in ("we met at noon dot the i", "Look at that. One two things.", "version 1.2.3 of 5"):
         assert pii.all_spans(t) == [] and pii.masked(t) == t
