@@ -16,8 +16,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._shared import components, staged, table
 
@@ -73,16 +74,22 @@ def links(fps: DataFrame) -> DataFrame:
     return middle.join(lowest, "mid").where("fp <> lo").select(F.col("fp").alias("src"), F.col("lo").alias("dst")).distinct()
 
 
+def _rooted(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) for each row, and (fp, least, root): the smallest doc_id of a fingerprint and its component's root."""
+    fps = staged(with_fingerprints(docs, doc_id, text), "simhash-fp")
+    roots = components(links(fps), "simhash-cc")
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    root = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return fps, root
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id that links reach).
 
     Null and empty texts have fingerprint zero and link like any other. A null doc_id keeps its row; the component's id
     is the smallest that is not null, null if there is none. Repeated rows stay. Other columns are not read.
     """
-    fps = staged(with_fingerprints(docs, doc_id, text), "simhash-fp")
-    roots = components(links(fps), "simhash-cc")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    root = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    fps, root = _rooted(docs, doc_id, text)
     ids = root.join(root.groupBy("root").agg(F.min("least").alias("component_id")), "root").select(F.col("fp").alias("f"), "component_id")
     return fps.join(ids, fps.fp == ids.f).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -92,6 +99,21 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the row with the smallest doc_id stays, once."""
-    groups = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(groups, docs.doc_id.eqNullSafe(groups.kept_id), "left_semi").dropDuplicates(["doc_id"])
+    """Pipeline stage: of each component one row stays, that with the smallest doc_id (null last), then fingerprint, then
+    text hash and text. Rows that share a doc_id, or have none, stay apart where their components differ."""
+    fps, root = _rooted(docs, "doc_id", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), fps.fp.alias("fp")))
+    kept = fps.join(root.select(F.col("fp").alias("f"), "root"), F.col("fp") == F.col("f")).groupBy("root").agg(first.alias("k")).select(
+        F.coalesce("k.id", F.lit(0)).alias("kept_id"), F.col("k.no_id").alias("kept_none"), F.col("k.fp").alias("kept_fp"))
+    names, schema = docs.columns, docs.schema
+
+    def run(batches):
+        for b in batches:
+            fp = pa.array([fingerprint(t) for t in b.column(names.index("text")).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*names, "own_fp"])
+
+    own = docs.mapInArrow(run, StructType([*schema.fields, StructField("own_fp", LongType())]))
+    own = own.withColumn("own_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn("own_none", F.col("doc_id").isNull())
+    left = own.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_none") == F.col("kept_none")) & (F.col("own_fp") == F.col("kept_fp")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("own_id", "own_none", "own_fp").orderBy(F.xxhash64("text"), "text"))
+    return left.withColumn("place", place).where("place = 1").select(*names)

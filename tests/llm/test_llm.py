@@ -104,6 +104,18 @@ def test_simhash_links_all_close_pairs(spark):
     assert set(got) == close and len(set(got.values())) == 1
 
 
+def test_keep_one_by_component(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(40)) for c in "abcd")
+    out = simhash.keep_one(spark, frame(spark, [(7, one), (7, two), (7, two), (None, three), (None, four), (None, four), (9, one), (None, two)]), SF).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, three), (0, four), (7, one), (7, two)]
+
+
+def test_substring_stage_cuts_only_the_text_a_passage_is_in(spark):
+    one, two, head = (" ".join(f"{c}{k}" for k in range(90)) for c in "abc")
+    out = substring.dedup_stage(spark, frame(spark, [(1, one), (7, head + " " + one), (7, two)]), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, one), (7, two), (7, head)]
+
+
 def test_bpe_equals_library(docs, texts):
     tok = wordbpe.load(wordbpe.VOCABULARY)
     for r in bpe.encode_decode(docs).collect():
