@@ -25,6 +25,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select "
     "summary table tbody td textarea tfoot th thead title tr ul video audio object canvas template".split())
 RAW = frozenset("script style textarea title template noscript iframe svg math select option button object canvas video audio".split())
+PAGE_END = frozenset("script style textarea title iframe".split())  # raw text: without an end tag they go on to the page's end
+ALONE = frozenset("option button select".split())  # the next of their kind ends them
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = BLOCKS - frozenset("button caption dd dt html body head li td th tr tbody thead tfoot title option optgroup legend summary figcaption".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -88,6 +90,34 @@ class Block:
         self.text, self.element, self.linked, self.tag = text, element, linked, element.tag
 
 
+def _skipped(page: str, at: int, closed: int, tag: str, above: set[str]) -> int:
+    """Where the content of a skipped element that begins at `at` ends: after its end tag; where the next of its kind or an
+    end tag of an element above begins if it has none; `at` if nothing ends it."""
+    inside = [tag]
+    first = at
+    while m := _TOKEN.search(page, at, closed):
+        at = m.end()
+        if m[2] is None:
+            continue
+        t = m[2].lower()
+        if m[1]:
+            if t in inside:
+                while inside.pop() != t:
+                    pass
+                if not inside:
+                    return at
+            elif t in above:
+                return m.start() if tag == "option" else first
+        elif tag in ALONE and (t == tag or tag == "option" and t == "optgroup"):
+            return m.start() if tag == "option" else first
+        elif t in PAGE_END:
+            end = re.compile(rf"</{t}\s*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        elif t not in VOID and not m[3].endswith("/"):
+            inside.append(t)
+    return first
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order: decoded, white space runs made one space, without what scripts, styles and heads hold."""
     out: list[Block] = []
@@ -110,6 +140,7 @@ def blocks(page: str) -> list[Block]:
         return next(e for e in reversed(stack) if e.tag in BLOCKS or e.tag == "#")
 
     at, n = 0, len(page)
+    ends: dict[str, int] = {}  # where the last end tag of a skipped element lies
     closed = page.rfind(">") + 1  # no tag ends after it
     while at < n:
         m = _TOKEN.search(page, at, closed)
@@ -156,8 +187,14 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            if tag in PAGE_END:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+            elif not (tag in ("svg", "math") and m[3].endswith("/")):
+                if tag not in ends:
+                    ends[tag] = max((x.start() for x in re.finditer(rf"(?i)</{tag}\s*>", page)), default=-1)
+                if ends[tag] >= at or tag == "option":
+                    at = _skipped(page, at, closed, tag, {e.tag for e in stack})
             continue
         stack.append(Element(tag, stack[-1], m[3]))
     flush()

@@ -342,6 +342,16 @@ def test_html_article_only():
     assert html.main_text(page) == "Title & more\nFirst para, with bold text. Two sentences.\nShort."
 
 
+@pytest.mark.parametrize("tag", [
+    "<datalist><option value=a>A<option value=b>B</datalist>", "<svg width=1 />", "<math/>", "<svg><path d=x /><text>A</text></svg>", "<video src=a>", "<button>A<button>B</button>",
+    "<select><option>A<option>B</select>", "<div><button>A</div><button>B</button>", "<template><script>'</template>'</script>A</template>", "<object><object>A</object>B</object>"])
+def test_html_text_after_an_open_element_stays(tag):
+    found = [b.text for b in html.blocks(f"<body><p>First.</p>{tag}<p>Second.</p><svg><title>C</title></svg><p>Third.</p></body>")]
+    assert [t for t in found if t not in "AB"] == ["First.", "Second.", "Third."]
+    if "button" not in tag:
+        assert not {"A", "B"} & set(found)
+
+
 def test_minimum_cut_brute_force():
     from itertools import product
 
