@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import audit, blocking, decide, features, models, records
 from ..sources import tables
+from . import linkage
 from .views import DOC, DOC_TRUTH, LI, LI_TRUTH, PART, PARTX, doc, doc_truth, li, li_truth, part, partx, table
 
 QUERIES: dict = {}
@@ -45,7 +46,7 @@ def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in V.NAME_STOP) + "]"
 _CLEAN = r"""regexp_replace(regexp_replace(replace(replace(lower(name), '&', ' and '), '+', ' plus '), '\(\s*id[:\s]*\d+\s*\)|#\s*\d+|\bid[:\s]+\d+', ' ', 'g'), '\.(com|net|org|in|co)\b', ' \1', 'g')"""
-_ALIAS = T.ALIAS.replace("'", "''")
+_ALIAS = V.ALIAS.replace("'", "''")
 _LEET = "CASE WHEN regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9]') THEN translate(t, '%s', '%s') ELSE t END" % V.LEET
 
 
@@ -152,6 +153,10 @@ def _post(spark: SparkSession, d: str) -> DataFrame:
     return blocking.postings(doc(spark, d), blocking.words(F.concat_ws(" ", "name", "addr")))
 
 
+def _weights(spark: SparkSession, d: str) -> DataFrame:
+    return blocking.weights(doc(spark, d), blocking.words(F.concat_ws(" ", "name", "addr")))
+
+
 @query(f"WITH {DOC}, {_tfidf_sql(_WORDS)} SELECT country, id, is_q, token, round(w, 6) AS w FROM w")
 def tfidf_postings(spark: SparkSession, d: str) -> DataFrame:
     return _post(spark, d).select("country", "id", "is_q", "token", F.round("w", 6).alias("w"))
@@ -163,29 +168,29 @@ def _top_sql(name: str, k: int, by: str, tie: str) -> str:
 
 @query(f"WITH {DOC}, {_tfidf_sql(_WORDS)} {_top_sql('comb', 50, 'qi', 'pi')}")
 def tfidf_topk_forward(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.top_k(blocking.scored_pairs(_post(spark, d)), "comb", 50)
+    return blocking.top_k(blocking.scored_pairs(_weights(spark, d), 50), "comb", 50)
 
 
 @query(f"WITH {DOC}, {_tfidf_sql(_WORDS)} {_top_sql('rev', 5, 'pi', 'qi')}")
 def tfidf_topk_reverse(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.top_k(blocking.scored_pairs(_post(spark, d)), "rev", 5, True)
+    return blocking.top_k(blocking.scored_pairs(_weights(spark, d), None, 5), "rev", 5, True)
 
 
 @query(f"WITH {DOC}, {_tfidf_sql(_GRAMS, 2)} {_top_sql('name_ch', 12, 'qi', 'pi')}")
 def char4_topk(spark: SparkSession, d: str) -> DataFrame:
-    return blocking.top_k(blocking.scored_pairs(blocking.postings(doc(spark, d), blocking.char_grams(F.replace("name", F.lit(" "), F.lit(""))), min_df=2)), "name_ch", 12)
+    return blocking.top_k(blocking.scored_pairs(blocking.weights(doc(spark, d), blocking.char_grams(F.replace("name", F.lit(" "), F.lit(""))), min_df=2), 12), "name_ch", 12)
 
 
 @query(f"""WITH {DOC}, {_tfidf_sql(_WORDS)}, f AS ({_top_sql('comb', 50, 'qi', 'pi')}), r AS ({_top_sql('rev', 5, 'pi', 'qi')}), k AS ({_key_sql('doc', ['name'], 3, 30, 'k_name')})
 SELECT *, (comb_score IS NOT NULL)::INT + (rev_score IS NOT NULL)::INT + (k_name_score IS NOT NULL)::INT AS n_passes FROM f FULL JOIN r USING (qi, pi) FULL JOIN k USING (qi, pi)""")
 def union_passes_full_outer(spark: SparkSession, d: str) -> DataFrame:
-    sc = blocking.scored_pairs(_post(spark, d))
+    sc = blocking.scored_pairs(_weights(spark, d), 50, 5)
     return blocking.union_passes({"comb": blocking.top_k(sc, "comb", 50), "rev": blocking.top_k(sc, "rev", 5, True), "k_name": key_pass_name(spark, d)})
 
 
 @query(f"WITH {DOC_TRUTH}, {_tfidf_sql(_WORDS)}, r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY score DESC, pi) AS rn FROM sc), h AS (SELECT rn FROM r SEMI JOIN truth USING (qi, pi) WHERE rn <= 50) SELECT " + ", ".join(f"coalesce(sum((rn <= {n})::INT), 0)::BIGINT AS hit_{n}" for n in (5, 10, 15, 20, 30, 50)) + ", count(*) AS hit_all FROM h")
 def recall_at_n(spark: SparkSession, d: str) -> DataFrame:
-    return audit.recall_at(decide.prune(blocking.scored_pairs(_post(spark, d)), "score", 50), doc_truth(doc(spark, d)))
+    return audit.recall_at(decide.prune(blocking.scored_pairs(_weights(spark, d), 50), "score", 50), doc_truth(doc(spark, d)))
 
 
 @query(f"WITH {DOC}, {_tfidf_sql(_WORDS)}, k AS ({_key_sql('doc', ['name'], 3, 30, 'k_name')}) SELECT k.qi, k.pi, round(coalesce(score, 0), 6) AS tfidf FROM k LEFT JOIN sc ON k.qi = sc.qi AND k.pi = sc.pi")
@@ -201,8 +206,7 @@ def name_freq_relative(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def generate_candidates(spark: SparkSession, d: str) -> DataFrame:
     """All ten passes over normalised records; scores of one text serve both directions."""
-    r = partx(spark, d).select("id", F.col("name").alias("business_name"), F.col("addr").alias("business_address"), "country", "is_q")
-    return blocking.generate(records.normalize(r))
+    return blocking.generate(_normal(spark, d))
 
 
 # ---- features ------------------------------------------------------------------------------------------------------
@@ -237,27 +241,33 @@ def jaro_winkler_brand(spark: SparkSession, d: str) -> DataFrame:
     return _np(spark, d).select("qi", "pi", F.round(S.jaro_winkler_udf("ba", "bb"), 6).alias("jw"))
 
 
-def _view(spark: SparkSession, d: str) -> DataFrame:
-    r = records.normalize(partx(spark, d).select("id", F.col("name").alias("business_name"), F.col("addr").alias("business_address"), "country", "is_q"))
+def _normal(spark: SparkSession, d: str) -> DataFrame:
+    names = F.concat(F.when(F.col("is_q"), "S1-").when(F.col("id") % 2 == 0, "S2-").otherwise("S3-"), F.col("id").cast("string"))
+    return records.normalize(partx(spark, d).select("id", names.alias("entity_id"), F.col("name").alias("business_name"), F.col("addr").alias("business_address"), "country", "is_q"))
+
+
+def _view(r: DataFrame) -> DataFrame:
     pairs = blocking.key_pass("k", r.where("is_q"), r.where("not is_q"), ["addr_nums"], 20, 200).select("qi", "pi")
     return features.pair_view(pairs, r)
 
 
 @query()
 def pair_feature_table(spark: SparkSession, d: str) -> DataFrame:
-    return features.pair_features(features.cheap_features(_view(spark, d)))
+    """All pair features but those of the passes, over pairs that share their numbers."""
+    r = _normal(spark, d)
+    return features.corpus_features(features.pair_features(features.cheap_features(_view(r))), r)
 
 
 @query()
 def group_context_sim(spark: SparkSession, d: str) -> DataFrame:
-    return features.group_features(features.cheap_features(_view(spark, d)), "c_n_ratio").select("qi", "pi", "cvc_name", "cvc_addr", "g_same_addr", "g_same_name", "g_size", "g_sim_rank")
+    return features.group_features(features.cheap_features(_view(_normal(spark, d))), "c_n_ratio").select("qi", "pi", "cvc_name", "cvc_addr", "g_same_addr", "g_same_name", "g_size", "g_sim_rank")
 
 
 # ---- windows and decisions -----------------------------------------------------------------------------------------
-_STATS = """SELECT qi, pi, score, row_number() OVER q AS s_q_rank, round(max(score) OVER (PARTITION BY qi) - score, 6) AS s_q_gap_max, count(*) OVER (PARTITION BY qi) AS s_q_n,
- round(max(score) OVER (PARTITION BY qi) - nth_value(score, 2) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS s_q_gap_2nd, round(sum(score) OVER (PARTITION BY qi), 6) AS s_q_sum,
- row_number() OVER p AS s_p_rank, round(max(score) OVER (PARTITION BY pi) - score, 6) AS s_p_gap_max, count(*) OVER (PARTITION BY pi) AS s_p_n,
- round(max(score) OVER (PARTITION BY pi) - nth_value(score, 2) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS s_p_gap_2nd
+_STATS = """SELECT qi, pi, score, row_number() OVER q AS s_q_rank, round(score - max(score) OVER (PARTITION BY qi), 6) AS s_q_gap_max, count(*) OVER (PARTITION BY qi) AS s_q_n,
+ round(score - nth_value(score, 2) OVER (q ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS s_q_gap_2nd, round(sum(score) OVER (PARTITION BY qi), 6) AS s_q_sum,
+ row_number() OVER p AS s_p_rank, round(score - max(score) OVER (PARTITION BY pi), 6) AS s_p_gap_max, count(*) OVER (PARTITION BY pi) AS s_p_n,
+ round(score - nth_value(score, 2) OVER (p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 6) AS s_p_gap_2nd
  FROM li WINDOW q AS (PARTITION BY qi ORDER BY score DESC, pi), p AS (PARTITION BY pi ORDER BY score DESC, qi)"""
 
 
@@ -330,13 +340,48 @@ def rule_grid(spark: SparkSession, d: str) -> DataFrame:
     return decide.rule_grid(pairs, truth, "p", list(_GRID))
 
 
-@query(f"""WITH {LI}, r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pi) AS r, (row_number() OVER (PARTITION BY pi ORDER BY p DESC, qi) = 1)::INT AS ex FROM li)
-SELECT qi, coalesce(max(p) FILTER (r = 1), 0) AS p1, coalesce(max(p) FILTER (r = 2), 0) AS p2, coalesce(max(p) FILTER (r = 3), 0) AS p3, count(*) AS n, round(sum(p), 6) AS sp, sum((p > 0.5)::INT)::BIGINT AS n5, sum((p > 0.1)::INT)::BIGINT AS n1,
- round(sum(ln(greatest(1 - p, 1e-6))), 6) AS lp, sum(ex)::BIGINT AS n_ex, round(coalesce(sum(p) FILTER (ex = 1), 0), 6) AS sp_ex, coalesce(max(p) FILTER (ex = 1), 0) AS p1_ex, sum((p > 0.5 AND ex = 1)::INT)::BIGINT AS n5_ex,
- round(coalesce(sum(ln(greatest(1 - p, 1e-6))) FILTER (ex = 1), 0), 6) AS lp_ex FROM r GROUP BY qi""")
+_SWEEP_ALL = f"""a1 AS (SELECT c.cfg, nt.qi, ntrue, coalesce(tp, 0) tp, coalesce(np, 0) np FROM nt CROSS JOIN (SELECT cfg FROM c1) c LEFT JOIN g1 ON g1.cfg = c.cfg AND g1.qi = nt.qi),
+ m1 AS (SELECT cfg, round(avg({_F05}), 6) AS macro_f05 FROM a1 GROUP BY 1), b1 AS (SELECT excl, t FROM m1 JOIN c1 USING (cfg) ORDER BY macro_f05 DESC, cfg LIMIT 1)"""
+
+
+def _sweep_sql() -> str:
+    t, rel = decide.SWEEP_T, decide.SWEEP_REL
+    first = ", ".join(f"({e * len(t) + i}, {e}, {x}::DOUBLE)" for e in (0, 1) for i, x in enumerate(t))
+    n = 2 * len(t)
+    finer = ", ".join(f"({n + i}, {k}, {r}::DOUBLE)" for i, (k, r) in enumerate((k, r) for k in range(-5, 6) for r in rel))
+    n += 11 * len(rel)
+    expected = ", ".join(f"({n + i}, {m}::DOUBLE, {b}::DOUBLE)" for i, (m, b) in enumerate((m, b) for m in decide.SWEEP_MISS for b in decide.SWEEP_BIAS))
+    return f"""WITH {LI_TRUTH}, {_EXCL.format('lt')}, b AS (SELECT 0 AS excl, qi, pi, p, label FROM lt UNION ALL SELECT 1, qi, pi, p, label FROM ex), c1(cfg, excl, t) AS (VALUES {first}),
+ g1 AS (SELECT cfg, qi, sum(label) tp, count(*) np FROM b JOIN c1 USING (excl) WHERE p >= t GROUP BY 1, 2), {_SWEEP_ALL},
+ own AS (SELECT b.*, max(p) OVER (PARTITION BY qi) AS top FROM b WHERE excl = (SELECT excl FROM b1)), c2(cfg, k, rel) AS (VALUES {finer}), c3(cfg, miss, bias) AS (VALUES {expected}),
+ x1 AS (SELECT *, row_number() OVER o AS k, sum(p) OVER (o ROWS UNBOUNDED PRECEDING) AS hits, sum(p) OVER (PARTITION BY qi) AS tot,
+  CASE WHEN max(p) OVER (PARTITION BY qi) >= 1 THEN 0 ELSE exp(sum(CASE WHEN p < 1 THEN ln(1 - p) END) OVER (PARTITION BY qi)) END AS none FROM own WHERE p > 0.01 WINDOW o AS (PARTITION BY qi ORDER BY p DESC, pi)),
+ x2 AS (SELECT *, round(1.25 * hits / (k + 0.25 * (tot + miss)), 12) AS ef FROM x1, c3), x3 AS (SELECT *, max(ef) OVER (PARTITION BY qi, cfg) AS best FROM x2),
+ x4 AS (SELECT *, min(CASE WHEN ef = best THEN k END) OVER (PARTITION BY qi, cfg) AS kstar FROM x3),
+ g2 AS (SELECT cfg, qi, sum(label) tp, count(*) np FROM (SELECT cfg, qi, label FROM own, c2 WHERE p >= round((SELECT t FROM b1) + c2.k / 100.0::DOUBLE, 2) AND p >= rel * top
+  UNION ALL SELECT cfg, qi, label FROM x4 WHERE k <= kstar AND best > bias * none) GROUP BY 1, 2),
+ a2 AS (SELECT c.cfg, nt.qi, ntrue, coalesce(tp, 0) tp, coalesce(np, 0) np FROM nt CROSS JOIN (SELECT cfg FROM c2 UNION ALL SELECT cfg FROM c3) c LEFT JOIN g2 ON g2.cfg = c.cfg AND g2.qi = nt.qi),
+ m AS (SELECT cfg, macro_f05 FROM m1 UNION ALL SELECT cfg, round(avg({_F05}), 6) FROM a2 GROUP BY 1) SELECT cfg, macro_f05, (row_number() OVER (ORDER BY macro_f05 DESC, cfg) = 1)::INT AS best FROM m"""
+
+
+@query(_sweep_sql())
+def decision_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """All 94 rules of the search, the best one marked."""
+    pairs, truth = li_truth(spark, d)
+    return decide.sweep(pairs, truth, "p").select("cfg", "macro_f05", "best")
+
+
+_AGG = (", ".join(f"coalesce(max(p) FILTER (r = {k}), 0) AS top{k}" for k in range(1, 6)) + ", count(*) AS n_cand, round(sum(p), 6) AS sum_p, "
+        + ", ".join(f"sum((p > {t})::INT)::BIGINT AS {n}" for t, n in ((0.5, "n_05"), (0.8, "n_08"), (0.95, "n_095")))
+        + ", round(sum(ln(greatest(1 - p, 1e-6))), 6) AS log_p0, sum(ex)::BIGINT AS n_ex, round(sum(p * ex), 6) AS sum_p_ex, sum((p > 0.5 AND ex = 1)::INT)::BIGINT AS n_05_ex,"
+        + " round(sum(ln(greatest(1 - p * ex, 1e-6))), 6) AS log_p0_ex, max(ex) FILTER (r = 1) AS top1_survives_ex")
+
+
+@query(f"WITH {LI}, r AS (SELECT *, row_number() OVER (PARTITION BY qi ORDER BY p DESC, pi) AS r, (row_number() OVER (PARTITION BY pi ORDER BY p DESC, qi) = 1)::INT AS ex FROM li) SELECT qi, {_AGG} FROM r GROUP BY qi")
 def entity_aggregates(spark: SparkSession, d: str) -> DataFrame:
     a = decide.aggregates(li(spark, d), "p", li(spark, d))
-    return a.select("qi", "p1", "p2", "p3", "n", "n5", "n1", "n_ex", "p1_ex", "n5_ex", *_r("sp", "lp", "sp_ex", "lp_ex"))
+    rounded = ("sum_p", "log_p0", "sum_p_ex", "log_p0_ex")
+    return a.select("qi", *(c for c in decide.ENTITY_FEATURES if c not in rounded), *_r(*rounded))
 
 
 _VOTES = LI + ", a AS (SELECT qi, pi FROM li WHERE p >= 0.5), b AS (SELECT qi, pi FROM li WHERE score > 20000), c AS (SELECT qi, pi FROM li WHERE (qi + pi) % 3 = 0)"
@@ -407,8 +452,8 @@ def _cause(spark: SparkSession, d: str) -> DataFrame:
     return j.withColumn("label", (F.col("same_name") & F.col("num_eq")).cast("int"))
 
 
-@query(f"""WITH {_CAUSE} SELECT CASE WHEN same_name AND same_addr THEN 'same name and address' WHEN addr_c = '' THEN 'no candidate address' WHEN same_name AND NOT num_eq THEN 'house number differs' WHEN same_name THEN 'same name'
- WHEN same_addr THEN 'same address' ELSE 'other' END AS cause, count(*) AS n FROM pr WHERE label = 0 GROUP BY 1""")
+@query(f"""WITH {_CAUSE} SELECT CASE WHEN same_name THEN 'same name' WHEN same_addr THEN 'same address' WHEN addr_c = '' THEN 'no candidate address'
+ WHEN NOT num_eq THEN 'house number differs' ELSE 'other' END AS cause, count(*) AS n FROM pr WHERE label = 0 GROUP BY 1""")
 def fp_cause(spark: SparkSession, d: str) -> DataFrame:
     return audit.fp_cause(_cause(spark, d))
 
@@ -421,16 +466,34 @@ def hard_subgroup(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {DOC_TRUTH}, {_tfidf_sql(_WORDS)}, c AS ({_top_sql('comb', 2, 'qi', 'pi')}), k AS ({_key_sql('doc', ['name'], 1, 2, 'k_name')}), m AS (SELECT * FROM truth ANTI JOIN k USING (qi, pi)) SELECT CASE WHEN c.qi IS NULL THEN 'blocking' ELSE 'scoring' END AS lost_by, count(*) AS n FROM m LEFT JOIN c USING (qi, pi) GROUP BY 1")
 def fn_split(spark: SparkSession, d: str) -> DataFrame:
     r = doc(spark, d)
-    return audit.fn_split(doc_truth(r), blocking.top_k(blocking.scored_pairs(_post(spark, d)), "comb", 2), _key(r, "k_name", ["name"], (1, 2)))
+    return audit.fn_split(doc_truth(r), blocking.top_k(blocking.scored_pairs(_weights(spark, d), 2), "comb", 2), _key(r, "k_name", ["name"], (1, 2)))
 
 
-@query(f"""WITH {LI}, x AS (SELECT qi, pi, round(1 - p, 2) AS pf, (score > 20000)::INT AS candidate FROM li), m AS (SELECT avg(pf) AS mean FROM x WHERE candidate = 1), f AS (SELECT qi, pi, round(greatest(0, least(1, pf * {audit.TARGET} / mean)), 9) AS f FROM x, m)
-SELECT qi, pi, round(f * {audit.GAIN} - (1 - f) * {audit.LOSS}, 6) AS gain, CASE WHEN f > {audit.LOSS} / ({audit.GAIN} + {audit.LOSS}) THEN 'remove' WHEN f < 0.05 THEN 'rescue' ELSE 'keep' END AS action FROM f""")
+@query(f"""WITH {LI}, x AS (SELECT qi, pi, round(1 - p, 2) AS pf, (score > 20000)::INT AS in_sample FROM li), m AS (SELECT avg(pf) AS mean FROM x WHERE in_sample = 0),
+ f AS (SELECT qi, pi, in_sample, round(greatest(0, least(1, pf * {audit.TARGET} / mean)), 9) AS f FROM x, m),
+ a AS (SELECT *, CASE WHEN in_sample = 1 AND f > {audit.LOSS} / ({audit.GAIN} + {audit.LOSS}) THEN 'remove' WHEN in_sample = 0 AND f < {audit.RESCUE} THEN 'rescue' WHEN in_sample = 1 THEN 'keep' ELSE 'leave' END AS action FROM f)
+SELECT qi, pi, action, CASE action WHEN 'remove' THEN 1 WHEN 'rescue' THEN -1 ELSE 0 END * round(f * {audit.GAIN} - (1 - f) * {audit.LOSS}, 6) AS gain FROM a""")
 def calibrated_removal(spark: SparkSession, d: str) -> DataFrame:
-    x = li(spark, d).select("qi", "pi", F.round(1 - F.col("p"), 2).alias("pf"), (F.col("score") > 20000).cast("int").alias("candidate"))
+    x = li(spark, d).select("qi", "pi", F.round(1 - F.col("p"), 2).alias("pf"), (F.col("score") > 20000).cast("int").alias("in_sample"))
     return audit.calibrated_removal(x).select("qi", "pi", "gain", "action")
 
 
+@query(f"WITH {_CAUSE}, t AS (SELECT DISTINCT pi FROM pr WHERE label = 1) SELECT CASE WHEN t.pi IS NULL THEN 'distractor' ELSE 'another query' END AS owner, count(*) AS n FROM pr LEFT JOIN t USING (pi) WHERE label = 0 GROUP BY 1")
+def fp_owner(spark: SparkSession, d: str) -> DataFrame:
+    pairs = _cause(spark, d)
+    return audit.fp_owner(pairs, pairs.where("label = 1"))
+
+
+@query(f"WITH {LI} SELECT qi, pi, score FROM li ORDER BY score DESC, qi, pi LIMIT 40")
+def strongest_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return audit.strongest(li(spark, d), "score", 40).select("qi", "pi", "score")
+
+
+@query("SELECT count(*) FILTER (q IS NULL) AS quality, count(*) FILTER (t IS NULL) AS toxic FROM (SELECT l.quality AS q, l.toxic AS t FROM documents LEFT JOIN labels l USING (doc_id))")
+def null_counts(spark: SparkSession, d: str) -> DataFrame:
+    return audit.null_counts(table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left"), ["quality", "toxic"])
+
+
 @query(f"""WITH {_VOTES}, q AS (SELECT DISTINCT qi FROM li WHERE qi % 5 <> 0), p AS (SELECT DISTINCT pi FROM li WHERE pi % 5 <> 0) SELECT 'unknown query' AS violation, count(*) AS n FROM a ANTI JOIN q USING (qi) UNION ALL SELECT 'unknown pool id', count(*) FROM a ANTI JOIN p USING (pi)
  UNION ALL SELECT 'repeated pair', count(*) FROM (SELECT 1 FROM a GROUP BY qi, pi HAVING count(*) > 1) UNION ALL SELECT 'not a candidate', count(*) FROM a ANTI JOIN b USING (qi, pi)
  UNION ALL SELECT 'several owners', count(*) FROM (SELECT pi FROM (SELECT DISTINCT qi, pi FROM a) GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated query', 0""")
@@ -497,6 +560,13 @@ def entity_decision(spark: SparkSession, d: str) -> DataFrame:
     return decide.entity_decide(x, "p", entity).select("qi", "pi", "p")
 
 
+@query(f"""WITH {LI_TRUTH}, y AS (SELECT qi, sum(label) hit, count(*) n FROM lt GROUP BY 1) SELECT round(sum(hit) / sum(ntrue)::DOUBLE, 6) AS blocking_recall, round(avg(n), 6) AS avg_cands,
+ round(quantile_cont(n, 0.95), 6) AS p95_cands, max(n) AS max_cands FROM nt JOIN y USING (qi)""")
+def candidate_statistics(spark: SparkSession, d: str) -> DataFrame:
+    pairs, truth = li_truth(spark, d)
+    return decide.macro_f05(pairs.where("p >= 0.5"), truth, pairs).select("blocking_recall", "avg_cands", "p95_cands", "max_cands")
+
+
 # ---- models --------------------------------------------------------------------------------------------------------
 def _model_input(spark: SparkSession, d: str) -> DataFrame:
     pairs, _ = li_truth(spark, d)
@@ -512,7 +582,7 @@ def gbt_oof_stage1(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def entity_models(spark: SparkSession, d: str) -> DataFrame:
     pairs, truth = li_truth(spark, d)
-    return models.entity_models(decide.aggregates(pairs, "p", truth), truth, ["p1", "p2", "n", "sp", "n5"])
+    return models.entity_models(decide.aggregates(pairs, "p", truth), truth, decide.ENTITY_FEATURES)[0]
 
 
 @query()
@@ -520,3 +590,22 @@ def lr_repair(spark: SparkSession, d: str) -> DataFrame:
     x = _model_input(spark, d)
     names = ["p", "s_q_rank", "s_q_gap_2nd", "odd"]
     return models._scored(models.precision_rule(x, names), models.assembled(x, names), "p_false").select("qi", "pi", "p_false")
+
+
+# ---- the whole linkage ---------------------------------------------------------------------------------------------
+def partx_truth(r: DataFrame) -> DataFrame:
+    """Truth over normalised PARTX records: equal name and equal first number, give or take one, within a country."""
+    k = r.where("name_core <> '' and addr_nums <> ''").select("id", "is_q", "country", "name_core", F.split("addr_nums", " ")[0].cast("int").alias("num"))
+    q = k.where("is_q").select(F.col("id").alias("qi"), "country", "name_core", F.explode(F.array(*(F.col("num") + i for i in (-1, 0, 1)))).alias("num"))
+    return q.join(k.where("not is_q").select(F.col("id").alias("pi"), "country", "name_core", "num"), ["country", "name_core", "num"]).select("qi", "pi")
+
+
+@query()
+def linkage_end_to_end(spark: SparkSession, d: str) -> DataFrame:
+    """Records to report: ten passes, pruning, all features, two matching stages, the search of a rule, macro F0.5.
+
+    Trees are shallower and fewer than a production run's, the pairs and records whole.
+    """
+    r = _normal(spark, d)
+    raw = r.select("id", "entity_id", "business_name", "business_address", "country", "is_q")
+    return linkage.train(raw, partx_truth(r), linkage.Settings(stage0=(4, 8), matcher=(4, 8), share0=0.5, share=0.6)).report

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from linkwright.functions import similarity as S
 from linkwright.functions import text as T
-from linkwright.operators import audit, blocking, decide, records
+from linkwright.operators import audit, blocking, decide, features, models, pools, records
 from linkwright.sources import tables
 
 
@@ -33,12 +33,22 @@ def _next(row, x, b):
     return out
 
 
+def _partial(a, b):
+    """Every stretch of the longer string, either way round if both are as long."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a:
+        return 0.0 if b else 100.0
+    cuts = lambda x, y: max(200 * _lcs(x, y[max(0, h - len(x)) : h]) / (len(x) + min(h, len(y)) - max(0, h - len(x))) for h in range(1, len(y) + len(x)))
+    return max(cuts(a, b), cuts(b, a) if len(a) == len(b) else 0.0)
+
+
 def test_similarities():
     r = random.Random(1)
     for _ in range(300):
         a, b = ("".join(r.choice("abc ") for _ in range(r.randrange(9))) for _ in range(2))
         assert S.lcs(a, b) == _lcs(a, b)
-        assert S.partial_ratio(a, b) == S.partial_ratio(b, a) or len(a) == len(b)
+        assert S.partial_ratio(a, b) == pytest.approx(_partial(a, b)) == pytest.approx(S.partial_ratio(b, a))
     assert S.ratio("", "") == 100 and S.token_set("", "") == 0 and S.token_set("a b", "b a c") == 100
     assert S.token_sort("b a", "a b") == 100 and S.partial_ratio("bc", "abcd") == 100
     assert S.jaro_winkler("martha", "marhta") == pytest.approx(0.961111, abs=1e-6)
@@ -63,7 +73,7 @@ def test_entity_decide_and_empty(spark):
     assert {(r.qi, r.pi) for r in decide.entity_decide(s, "p", e).collect()} == {(1, 1), (1, 2)}
     none = s.where("false")
     assert decide.exclusive(none, "p").count() == 0 and audit.added_removed(none, none).count() == 0
-    assert math.isclose(decide.aggregates(s, "p", e).where("qi = 1").first()["sp"], 1.7)
+    assert math.isclose(decide.aggregates(s, "p", e).where("qi = 1").first()["sum_p"], 1.7)
 
 
 def test_sources_round_trip(spark, tmp_path):
@@ -99,9 +109,15 @@ def test_block_scores_equal_brute_force(spark):
             if q and not q2 and (c, t) == (c2, t2):
                 want[i, j, c] = want.get((i, j, c), 0.0) + w * w2
     for block in ((2, 3), (512, 4096)):
-        got = blocking.scored_pairs(post, block).collect()
+        got = blocking.scored_pairs(post, block=block).collect()
         assert sorted((x.qi, x.pi, x.score) for x in got) == sorted((i, j, s) for (i, j, _), s in want.items())
     assert blocking.scored_pairs(post.where("false")).count() == 0
+    every = blocking.scored_pairs(post, block=(2, 3))
+    for k, reverse in ((2, False), (3, True)):
+        some = blocking.scored_pairs(post, *((None, k) if reverse else (k, None)), block=(64, 64), least_tasks=1)
+        assert some.count() < every.count()
+        best = [{tuple(x) for x in blocking.top_k(p, "s", k, reverse).collect()} for p in (some, every)]
+        assert best[0] == best[1]
 
 
 def test_char_grams_short_empty_null_and_wide(spark):
@@ -111,3 +127,117 @@ def test_char_grams_short_empty_null_and_wide(spark):
     for i, t in enumerate(texts):
         t = (t or "").lower()
         assert got[i] == [t[k : k + 4] for k in range(len(t) - 3)]
+
+
+def test_gaps_to_the_best_and_second_best(spark):
+    df = spark.createDataFrame([(1, 10, 0.9), (1, 11, 0.6), (1, 12, 0.1), (2, 13, 0.5)], "qi long, pi long, s double")
+    got = {r.pi: r for r in decide.group_stats(df, "s", "x").collect()}
+    assert [got[k].x_q_gap_2nd for k in (10, 11, 12)] == pytest.approx([0.3, 0.0, -0.5]) and got[13].x_q_gap_2nd is None
+    assert [got[k].x_q_gap_max for k in (10, 11, 12, 13)] == pytest.approx([0.0, -0.3, -0.8, 0.0])
+    assert got[10].x_p_gap_2nd is None and got[10].x_p_gap_max == 0.0
+
+
+def test_causes_of_false_pairs(spark):
+    rows = [(1, 1, True, True, "x", False, 0), (1, 2, False, True, "x", False, 0), (1, 3, False, False, "", False, 0), (1, 4, False, False, "x", False, 0), (1, 5, False, False, "x", True, 0), (1, 6, True, True, "x", True, 1)]
+    df = spark.createDataFrame(rows, "qi long, pi long, same_name boolean, same_addr boolean, addr_c string, num_eq boolean, label int")
+    assert {tuple(r) for r in audit.fp_cause(df).collect()} == {(c, 1) for c in ("same name", "same address", "no candidate address", "house number differs", "other")}
+    owners = audit.fp_owner(df, spark.createDataFrame([(9, 2), (9, 3)], "qi long, pi long"))
+    assert {tuple(r) for r in owners.collect()} == {("another query", 2), ("distractor", 3)}
+
+
+def test_repair_only_removes_from_the_answer_and_rescues_the_rest(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0.8), (1, 2, 1, 0.01), (1, 3, 0, 0.8), (1, 4, 0, 0.01), (1, 5, 0, 0.5)], "qi long, pi long, in_sample int, pf double")
+    got = {r.pi: r for r in audit.calibrated_removal(df).collect()}
+    m = audit.TARGET / ((0.8 + 0.01 + 0.5) / 3)
+    assert [got[k].action for k in range(1, 6)] == ["remove", "keep", "leave", "rescue", "leave"]
+    assert got[1].gain == pytest.approx(0.8 * m * 0.2 - (1 - 0.8 * m) * 0.0625, abs=1e-6) and got[4].gain == pytest.approx((1 - 0.01 * m) * 0.0625 - 0.01 * m * 0.2, abs=1e-6)
+    assert {r.pi for r in audit.repaired(audit.calibrated_removal(df)).collect()} == {2, 4}
+
+
+def test_the_precision_rule_learns_false_pairs(spark):
+    df = spark.createDataFrame([(i, i, float(i % 10 < 5), int(i % 10 < 5)) for i in range(200)], "qi long, pi long, p double, label int")
+    x = models._scored(models.precision_rule(df, ["p"]), models.assembled(df, ["p"]), "p_false").collect()
+    assert all((r.p_false > 0.5) == (r.label == 0) for r in x)
+    assert "Predict: 1.0" in models.rule_tree(df, ["p"], 5).toDebugString
+
+
+def test_entity_models_are_out_of_fold_and_kept_models_average(spark, tmp_path):
+    df = spark.createDataFrame([(i, i * 10 + k, 0.9 if (i % 2 and k < 2) else 0.1) for i in range(80) for k in range(4)], "qi long, pi long, p double")
+    truth = df.select("qi").distinct().withColumn("ntrue", F.when(F.col("qi") % 2 == 1, 2).otherwise(0))
+    agg = decide.aggregates(df, "p", truth)
+    row = agg.where("qi = 1").first()
+    assert (row.n_cand, row.top1, row.top3, row.top5, row.n_05, row.n_08, row.n_095, row.top1_survives_ex) == (4, 0.9, 0.1, 0.0, 2, 2, 0, 1)
+    out, kept = models.entity_models(agg, truth, ["top1", "sum_p", "n_05"])
+    got = {r.qi: r for r in out.collect()}
+    assert len(got) == 80 and all((r.p_empty > 0.5) == (q % 2 == 0) for q, r in got.items()) and len(kept) == 2
+    assert {r.qi for r in models.entity_mean(agg, ["top1", "sum_p", "n_05"], kept).collect()} == set(got)
+    d = df.withColumn("label", (F.col("p") > 0.5).cast("int"))
+    _, fitted = models.out_of_fold(d, ["p"], "s", models.matcher(2, 2))
+    models.save_folds(fitted, str(tmp_path / "m"))
+    a, b = (models.fold_mean(d, ["p"], "s", m).select("qi", "pi", "s").collect() for m in (fitted, models.load_folds(str(tmp_path / "m"))))
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_answer_file_in_query_order_and_its_checks(spark, tmp_path):
+    q = spark.createDataFrame([(1, 0, "S1-b"), (2, 1, "S1-a"), (3, 2, "S1-c")], "qi long, at long, entity_id string")
+    names = spark.createDataFrame([(10, "S2-9"), (11, "S3-10")], "pi long, entity_id string")
+    tables.write_lists(q, spark.createDataFrame([(1, 10), (1, 11), (1, 11), (3, 10)], "qi long, pi long"), names, str(tmp_path / "out"))
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
+    assert text == "source1_entity_id\tmatched_entity_ids\nS1-b\tS2-9,S3-10\nS1-a\t\nS1-c\tS2-9\n"
+    check = lambda path: {r.violation: r.n for r in audit.file_violations(tables.read_lines(spark, path), "matched_entity_ids", q, names).collect() if r.n}
+    assert check(str(tmp_path / "out")) == {}
+    (tmp_path / "bad.tsv").write_bytes(b"S1-b\tS2-9,S2-9\r\nS1-b\tS2-9, nan\nS1-x\tS1-b\nS1-a\n")
+    found = check(str(tmp_path / "bad.tsv"))
+    assert found["carriage return"] == 1 and found["header missing or repeated"] == 1 and found["not two columns"] == 1 and found["repeated query"] == 1
+    assert found["bad id"] >= 1 and found["unknown query"] == 1 and found["missing query"] == 2 and found["wrong prefix"] >= 1
+
+
+def test_stage_folders(spark, tmp_path):
+    from linkwright.sources import staging
+
+    df = spark.range(5)
+    path = str(tmp_path / "stage")
+    assert not staging.is_done(spark, path) and staging.resumed(df, path).count() == 5
+    assert staging.resumed(spark.range(9), path).count() == 5 and staging.folder_bytes(spark, path) > 0
+    staging.save_json(spark, {"t": 0.5, "x": "é"}, str(tmp_path / "rule"))
+    assert staging.load_json(spark, str(tmp_path / "rule")) == {"t": 0.5, "x": "é"}
+    for i in range(2):
+        staging.log_line(spark, audit.scorecard(f"e{i}", {"f": i}, {}), str(tmp_path / "log"))
+    assert sorted(r["experiment"] for r in staging.read_log(spark, str(tmp_path / "log"))) == ["e0", "e1"]
+    assert tables.read_parts(spark, path, columns=["id"]).count() == 5
+    staging.forget(spark, path)
+    assert staging.folder_bytes(spark, path) == 0
+
+
+def test_votes_of_kept_models_on_their_own_pool(spark):
+    df = spark.createDataFrame([(1, 1, 1, 0.7, 0.0, 0.9, 3), (1, 2, 0, 0.1, 0.2, 0.8, 2)], "qi long, pi long, in_second int, comb_score double, k_name_score double, L_s0 double, n_passes int").withColumn("s0", F.lit(0.5))
+    row = pools.earlier_view(df).collect()
+    assert [(r.pi, r.s0, r.n_passes) for r in row] == [(1, 0.9, 1)]
+    votes = pools.earlier_votes(pools.earlier_view(df).select("qi", "pi", F.col("s0").alias("p")), {"rule": "threshold", "excl": 1, "t": 0.5, "rel": None})
+    assert [tuple(r) for r in votes.collect()] == [(1, 1)]
+
+
+def test_features_by_hand_and_by_brute_force(spark):
+    rows = [(1, "S1-1", "Acme Tools Ltd", "12 Main St, Tennessee", "us", True), (2, "S2-2", "Acme Tool Inc d/b/a Best", "14 Main Street", "us", False), (3, "S3-3", "Other", "", "us", False)]
+    r = records.normalize(spark.createDataFrame(rows, "id long, entity_id string, business_name string, business_address string, country string, is_q boolean"))
+    pairs = spark.createDataFrame([(1, 2), (1, 3)], "qi long, pi long")
+    got = {x.pi: x for x in features.corpus_features(features.pair_features(features.cheap_features(features.pair_view(pairs, r))), r).collect()}
+    a, b = got[2], got[3]
+    assert (a.legal_both, a.legal_eq, a.num_first_eq, a.num_first_lev, a.num_first_absdiff, a.is_s3, b.is_s3, b.a_empty_c, b.num_first_eq) == (1.0, 0.0, 0.0, 1, 2.0, 0.0, 1.0, 1.0, None)
+    for x in (a, b):
+        q, c = x.name_core_q, x.name_core_c
+        assert x.n_ratio == pytest.approx(200 * _lcs(q, c) / (len(q) + len(c))) and x.n_pratio == pytest.approx(_partial(q, c)) and x.c_n_ratio == x.n_ratio
+        assert x.n_alias_best == pytest.approx(max(S.token_sort(q, y) for y in x.name_alias_c.split("|")))
+    assert a.n_tfidf > 0 and b.n_tfidf == 0 and a.n_freq_q == pytest.approx(math.log(2), abs=1e-6) and a.n_freq_rel_c == pytest.approx(math.log1p(5e5), abs=1e-6)
+    d = {x.pi: x for x in features.diagnostics(features.pair_view(pairs, r)).collect()}
+    assert (d[2].num_exact, d[2].num_missing, d[3].num_exact, d[3].num_missing, d[3].cand_addr_missing) == (0.0, 0.0, None, 1.0, 1.0)
+
+
+def test_learned_components(spark):
+    pairs = spark.createDataFrame([("a", "x")] * 5 + [("b", "x")] * 5 + [("b", "y")] * 2 + [("c", "x")], "y string, x string")
+    assert [tuple(r) for r in records.learned_components(pairs).collect()] == [("a", "x", 5)]
+
+
+def test_letters_beyond_latin_1(spark):
+    df = spark.createDataFrame([("Łódź Černý Győr Şişli Đà Nẵng ıİ ß",)], "t string")
+    assert df.select(T.ascii_fold(F.col("t"))).first()[0] == "Lodz Cerny Gyor Sisli Da Nang iI ss"
