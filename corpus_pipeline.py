@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkwright.llm._shared import staged, table
+from linkwright.llm._shared import table
 from linkwright.llm.packing import pack_stage
 from linkwright.llm.pii import mask_stage
 from linkwright.llm.quality import quality_stage
 from linkwright.llm.simhash import keep_one
 from linkwright.llm.substring import dedup_stage
+from linkwright.sources.staging import staged
 
 STAGES = [
     ("quality", quality_stage),
@@ -24,7 +25,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each result is written as Parquet and read back as the next one's input."""
+    """The stages over documents; each result is written as Parquet and read back as the next one's input.
+
+    Nulls, empty and repeated texts, repeated ids, empty tables and extra columns are treated as each stage's docstring says.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name)
