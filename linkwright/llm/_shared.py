@@ -1,45 +1,25 @@
-"""Helpers shared by the training-data operators: staging, sizing, components."""
+"""Helpers shared by the training-data operators: tables, column names, sizing, components."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DEFAULT = "/tmp/linkwright-checkpoints"
-
+from ..sources.staging import released, staged
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local default where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DEFAULT
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone; the folder is the cluster's to clean then
-        pass
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back.
-
-    A lost executor cannot lose the rows, unlike those of a local checkpoint. The folder goes when the process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names that a table with the taken ones doesn't have (names differ by more than case)."""
+    low, out = {t.lower() for t in taken}, []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> int:
@@ -56,7 +36,7 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
 
     Alternates large-star and small-star. Each half round finds every node's smallest neighbour by a grouped minimum
     (combined before the shuffle, so a hub is no hot key) and re-hangs the edges on it; the edge set never grows. Rounds
-    are logarithmic in the longest path. Every round is staged in the shared folder.
+    are logarithmic in the longest path. Every round is staged in the shared folder, from which the round before goes.
     Empty edges give an empty result; self loops only name their node.
     """
 
@@ -74,26 +54,11 @@ def components(edges: DataFrame, label: str = "cc") -> DataFrame:
     now = staged(edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), label)
     seen = None
     while True:
-        now = staged(half(half(now, True), False), label)
+        before, now = now, staged(half(half(now, True), False), label)
+        released(before)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("src", "dst"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)
     return nodes.join(now.groupBy("src").agg(F.min("dst").alias("m")), nodes.node == F.col("src"), "left").select(
         "node", F.coalesce("m", "node").alias("root"))
-
-
-def words_of(text: str) -> list[str]:
-    """Words as runs of anything but the six ASCII white-space characters."""
-    return [w.decode() for w in text.encode().split()]
-
-
-def sliced(items: Iterable, n: int):
-    batch = []
-    for x in items:
-        batch.append(x)
-        if len(batch) >= n:
-            yield batch
-            batch = []
-    if batch:
-        yield batch

@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ._shared import components, staged, table
+from ..sources.staging import staged
+from ._shared import components, fresh, table
 
 SHINGLE, SEED = 3, 42
 
@@ -56,20 +57,33 @@ def popcounts(x: Column) -> Column:
     return pairs.bitwiseAND(F.lit(0x3333333333333333)) + F.shiftrightunsigned(pairs, 2).bitwiseAND(F.lit(0x3333333333333333))
 
 
+def _cells() -> Column:
+    """The cells within one step of a fingerprint's own (column c), each with the step that leads there: 0, or 2 s + 1 where
+    segment s gains a bit, or 2 s + 2 where it loses one."""
+    one = [F.lit(1 << (4 * s)).cast("bigint") for s in range(16)]
+    digit = [F.shiftrightunsigned("c", 4 * s).bitwiseAND(F.lit(15)) for s in range(16)]
+    at = lambda cell, step: F.struct(cell.alias("cell"), F.lit(step).alias("step"))
+    steps = [at(F.col("c"), 0)]
+    for s in range(16):
+        steps += [F.when(digit[s] < 4, at(F.col("c") + one[s], 2 * s + 1)), F.when(digit[s] > 0, at(F.col("c") - one[s], 2 * s + 2))]
+    return F.filter(F.array(*steps), lambda x: x.isNotNull())
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """Edges (src, dst) among the distinct values of fps(fp) that connect all pairs at distance 2 or less."""
-    one = [F.lit(1 << (4 * s)).cast("bigint") if s < 15 else F.lit(1 << 60).cast("bigint") for s in range(16)]
+    """Edges (src, dst) among the distinct values of fps(fp) that connect all pairs at distance 2 or less.
+
+    A fingerprint goes to the cells within one step. In a cell that another one reaches too, it shows the words within one
+    flipped bit of itself that lie in that cell: itself in its own, one for each flip of a segment's bit in a neighbour.
+    """
     distinct = fps.select("fp").distinct().withColumn("c", popcounts(F.col("fp")))
-    digit = [F.shiftrightunsigned("c", 4 * s).bitwiseAND(F.lit(15)) for s in range(16)]
-    cells = F.filter(
-        F.array(F.col("c"), *(F.when(digit[s] < 4, F.col("c") + one[s]) for s in range(16)), *(F.when(digit[s] > 0, F.col("c") - one[s]) for s in range(16))),
-        lambda x: x.isNotNull(),
-    )
-    placed = distinct.select("fp", F.explode(cells).alias("cell"))
+    placed = distinct.select("fp", F.inline(_cells()))
     shared = placed.groupBy("cell").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("cell")
     close = placed.join(shared, "cell", "left_semi")
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint")) for b in range(64)))
-    middle = close.select("fp", "cell", F.explode(near).alias("mid")).where(popcounts(F.col("mid")) == F.col("cell")).select("fp", "mid")
+    lost = F.expr("step % 2 = 0")  # a segment that loses a bit flips one that is set
+    bits = F.expr("transform(array(0, 1, 2, 3), b -> 4 * div(step - 1, 2) + b)".replace("div(step - 1, 2)", "cast((step - 1) div 2 as int)"))
+    flips = F.transform(F.filter(bits, lambda b: F.call_function("shiftrightunsigned", F.col("fp"), b).bitwiseAND(F.lit(1)) == lost.cast("int")),
+                        lambda b: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), b)))
+    middle = close.select("fp", F.explode(F.when(F.col("step") == 0, F.array("fp")).otherwise(flips)).alias("mid"))
     lowest = middle.groupBy("mid").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("mid", "lo")
     return middle.join(lowest, "mid").where("fp <> lo").select(F.col("fp").alias("src"), F.col("lo").alias("dst")).distinct()
 
@@ -77,7 +91,8 @@ def links(fps: DataFrame) -> DataFrame:
 def _rooted(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) for each row, and (fp, least, root): the smallest doc_id of a fingerprint and its component's root."""
     fps = staged(with_fingerprints(docs, doc_id, text), "simhash-fp")
-    roots = components(links(fps), "simhash-cc")
+    edges = staged(links(fps), "simhash-links")  # components reads them more than once
+    roots = components(edges, "simhash-cc")
     least = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     root = least.join(roots, least.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     return fps, root
@@ -100,20 +115,26 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component one row stays, that with the smallest doc_id (null last), then fingerprint, then
-    text hash and text. Rows that share a doc_id, or have none, stay apart where their components differ."""
+    text hash and text. Columns stay as they are.
+
+    Rows that share a doc_id, or have none, are told apart by their fingerprints and stay where their components differ. Null,
+    empty and wordless texts are one component (and those near the zero fingerprint). Repeated rows are copies. An empty table
+    gives an empty one; extra columns may have any name.
+    """
     fps, root = _rooted(docs, "doc_id", "text")
+    names, schema = docs.columns, docs.schema
+    fp_, id_, none, place = fresh(names, "fp_", "id_", "none_", "place_")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), fps.fp.alias("fp")))
     kept = fps.join(root.select(F.col("fp").alias("f"), "root"), F.col("fp") == F.col("f")).groupBy("root").agg(first.alias("k")).select(
-        F.coalesce("k.id", F.lit(0)).alias("kept_id"), F.col("k.no_id").alias("kept_none"), F.col("k.fp").alias("kept_fp"))
-    names, schema = docs.columns, docs.schema
+        F.coalesce("k.id", F.lit(0)).alias(id_), F.col("k.no_id").alias(none), F.col("k.fp").alias(fp_))
 
     def run(batches):
         for b in batches:
             fp = pa.array([fingerprint(t) for t in b.column(names.index("text")).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*names, "own_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, fp], names=[*names, fp_])
 
-    own = docs.mapInArrow(run, StructType([*schema.fields, StructField("own_fp", LongType())]))
-    own = own.withColumn("own_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn("own_none", F.col("doc_id").isNull())
-    left = own.join(kept, (F.col("own_id") == F.col("kept_id")) & (F.col("own_none") == F.col("kept_none")) & (F.col("own_fp") == F.col("kept_fp")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("own_id", "own_none", "own_fp").orderBy(F.xxhash64("text"), "text"))
-    return left.withColumn("place", place).where("place = 1").select(*names)
+    own = docs.mapInArrow(run, StructType([*schema.fields, StructField(fp_, LongType())]))
+    own = own.withColumn(id_, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0))).withColumn(none, F.col("doc_id").isNull())
+    left = own.join(kept, [id_, none, fp_], "left_semi")
+    rank = F.row_number().over(Window.partitionBy(id_, none, fp_).orderBy(F.xxhash64("text"), "text"))
+    return left.withColumn(place, rank).where(F.col(place) == 1).select(*names)
