@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import blocks_for, staged, table, text_bytes
+from ..sources.staging import staged
+from ._shared import blocks_for, table, text_bytes
 
-SAMPLES = 24
+SAMPLES = 64
 _PART = 8 << 20
 _SPACES = "\t\n\x0b\x0c\r"
 
@@ -31,34 +32,39 @@ def draws(j: int) -> dict[str, str]:
     return {"r": f"(-ln({_uniform(x, True)} * {_uniform(x, False)}))", "c": f"ln(-ln({_uniform(y, True)} * {_uniform(y, False)}))", "b": _uniform(z, True)}
 
 
-def _least(j: int, ln_w: str) -> str:
-    """Sample j's value for one term: the high bits order by a, the low 32 tell term and t."""
+_LOW = 65535  # a sample's value is told by 16 bits: unequal ones agree by chance once in 65536
+
+
+def _value(j: int) -> str:
+    """Sample j's value for one term of weight e^ln_w: the high bits order by a, the low ones tell term and t."""
     d = draws(j)
-    t = f"floor({ln_w} / {d['r']} + {d['b']})"
+    t = f"floor(ln_w / {d['r']} + {d['b']})"
     a = f"({d['c']} - {d['r']} * ({t} - {d['b']} + 1D))"
-    return f"min(shiftleft(cast(({a} + 200D) * 4194304D as bigint), 32) | (xxhash64(term, {t}) & 4294967295L))"
+    return f"shiftleft(cast(({a} + 200D) * 4194304D as bigint), 32) | (xxhash64(term, {t}) & 4294967295L)"
 
 
 def signatures(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
-    """Per group of keys, for each output column its samples: array<bigint> of 32-bit values, null without terms.
+    """Per group of keys, for each output column its samples: hexadecimal text, four digits a sample, empty without terms.
 
-    terms has the keys, term (bigint) and the weight columns; a term of weight 0 takes no part in that column.
+    terms has the keys, term (bigint) and the weight columns; a term of weight 0 takes no part in that column. Two columns
+    in which a term weighs the same share its draws.
     """
-    logs = terms.select(*keys, "term", *(F.when(F.col(w) > 0, F.ln(F.col(w).cast("double"))).alias(f"ln_{w}") for w in weights.values()))
-    least = [F.expr(_least(j, f"ln_{w}")).alias(f"{out}_{j}") for out, w in weights.items() for j in range(samples)]
-    found = logs.groupBy(*keys).agg(*least)
-    low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
-    return found.select(*keys, *(F.when(F.col(f"{out}_0").isNotNull(), F.array(*(low(f"{out}_{j}") for j in range(samples)))).alias(out) for out in weights))
+    (first, wa), *more = weights.items()
+    sides = [F.struct(F.col(wa).alias("w"), *((F.lit(True) if k == 0 else F.col(w) == F.col(wa)).alias(f"in_{out}") for k, (out, w) in enumerate(weights.items())))]
+    for k, (out, w) in enumerate(more):
+        own = F.struct(F.col(w).alias("w"), *(F.lit(o == out).alias(f"in_{o}") for o in weights))
+        sides.append(F.when(F.col(w) != F.col(wa), own))
+    each = terms.select(*keys, "term", F.inline(F.filter(F.array(*sides), lambda x: x["w"] > 0))).withColumn("ln_w", F.ln(F.col("w").cast("double")))
+    least = [F.expr(f"min(if(in_{out}, {_value(j)}, null))").alias(f"{out}_{j}") for j in range(samples) for out in weights]
+    found = each.groupBy(*keys).agg(*least)
+    code = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit(_LOW)))), 4, "0")
+    return found.select(*keys, *(F.coalesce(F.concat(*(code(f"{out}_{j}") for j in range(samples))), F.lit("")).alias(out) for out in weights))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES):
     """Share of equal samples; 1 if neither side has terms, 0 if one has none."""
-    same = sum((F.element_at(a, j + 1) == F.element_at(b, j + 1)).cast("int") for j in range(samples)) / F.lit(float(samples))
-    return F.when(F.col(a).isNull() & F.col(b).isNull(), F.lit(1.0)).when(F.col(a).isNull() | F.col(b).isNull(), F.lit(0.0)).otherwise(same)
-
-
-def _hex(c: str, samples: int = SAMPLES):
-    return F.coalesce(F.concat(*(F.lpad(F.lower(F.hex(F.element_at(c, j + 1))), 8, "0") for j in range(samples))), F.lit(""))
+    same = sum((F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4)).cast("int") for j in range(samples)) / F.lit(float(samples))
+    return F.when((F.col(a) == "") & (F.col(b) == ""), F.lit(1.0)).when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(same)
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -100,10 +106,10 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     terms = words.select("k", "th", F.xxhash64("w").alias("term"), "a", "b").groupBy("k", "th", "term").agg(F.sum("a").alias("wa"), F.sum("b").alias("wb"))
     sig = signatures(terms, ["k", "th"], {"sa": "wa", "sb": "wb"}, samples)
     facts = cut.select("k", "th", "n", "nth", F.sha2(F.concat("kept", "lent"), 256).alias("edited_sha256"))
-    known = staged(facts.join(sig.select(F.col("k").alias("sk"), F.col("th").alias("sth"), "sa", "sb"), (F.col("k") == F.col("sk")) & (F.col("th") == F.col("sth")), "left").drop("sk", "sth"), "cws-known")
+    known = staged(facts.join(sig.select(F.col("k").alias("sk"), F.col("th").alias("sth"), "sa", "sb"), (F.col("k") == F.col("sk")) & (F.col("th") == F.col("sth")), "left").drop("sk", "sth").na.fill("", ["sa", "sb"]), "cws-known")
     after = known.where("nth = 1").select(F.col("k").alias("nk"), F.col("sa").alias("sn"))
     full = known.join(then, "k").join(after, "nk").select(
-        F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("n").alias("n_chars"), "edited_sha256", _hex("sa", samples).alias("fingerprint"), _hex("sb", samples).alias("edited_fingerprint"),
+        F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("n").alias("n_chars"), "edited_sha256", F.col("sa").alias("fingerprint"), F.col("sb").alias("edited_fingerprint"),
         likeness("sa", "sb", samples).alias("near_edited"), likeness("sa", "sn", samples).alias("near_next"))
     rows = own.select("k", "unnamed", F.xxhash64("text").alias("th"))
     return rows.join(full, (F.col("k") == F.col("fk")) & (F.col("th") == F.col("fth"))).select(
