@@ -73,30 +73,48 @@ def pair_codes(found: np.ndarray) -> np.ndarray:
     return np.sort(np.concatenate(codes))
 
 
+def pairs_of(samples: np.ndarray) -> np.ndarray:
+    """pair_codes of samples of any length: long ones go in portions that overlap by the frames a peak or a pair looks at."""
+    step, found = _PORTION // HOP * HOP, []
+    for lo in range(0, len(samples), step):
+        first = max(0, lo - HOP)
+        part = peaks(samples[first : lo + step + UNIT])
+        own = (lo - first) // HOP
+        found.append(part[own : own + step // HOP])
+    return pair_codes(np.concatenate(found))
+
+
+_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_HELD = 8 << 20  # bytes of media that are gathered before they go on
+
+
 def _rows(batches, full: bool):
+    rows, media, codes, held = [], [], [], 0
+
+    def made():
+        columns = [pa.array(c, k) for c, k in zip(zip(*rows), _KINDS)]
+        if full:
+            ends = np.cumsum([0] + [len(c) for c in codes])
+            columns += [pa.array(media, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes)))]
+        return pa.RecordBatch.from_arrays(columns, names=_NAMES + ["media", "pairs"] * full)
+
     for b in batches:
-        out = [[] for _ in range(8 + full * 2)]
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             n, payload = padded(text)
-            media = to_wav(payload)
-            back = from_wav(media)
-            samples = np.frombuffer(back, np.uint8)
-            # long payloads go in portions that overlap by the frames a peak or a pair looks at
-            step, found = _PORTION // HOP * HOP, []
-            for lo in range(0, len(samples), step):
-                first = max(0, lo - HOP)
-                part = peaks(samples[first : lo + step + UNIT])
-                own = (lo - first) // HOP
-                last = own + step // HOP
-                found.append(part[own:last])
-            codes = pair_codes(np.concatenate(found))
-            digest = hashlib.sha256(codes.astype("<i8").tobytes()).hexdigest()
-            row = [doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), f"{len(codes)}:{digest}"]
-            for c, x in zip(out, row + [media, codes.tolist()] * full):
-                c.append(x)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary(), pa.list_(pa.int64())] * full
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "pairs"] * full
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+            wav = to_wav(payload)
+            back = from_wav(wav)
+            found = pairs_of(np.frombuffer(back, np.uint8))
+            digest = hashlib.sha256(found.astype("<i8").tobytes()).hexdigest()
+            rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(wav), hashlib.sha256(wav).hexdigest(), f"{len(found)}:{digest}"))
+            media.append(wav)
+            codes.append(found)
+            held += len(wav)
+            if held >= _HELD:
+                yield made()
+                rows, media, codes, held = [], [], [], 0
+    if rows:
+        yield made()
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
@@ -114,4 +132,4 @@ def media_column(docs: DataFrame, full: bool = True) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_column(table(spark, sf_dir, "documents"), full=False)
+    return media_column(table(spark, sf_dir, "documents"))
