@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
+from .wordbpe import in_portions
 
 SAMPLE = 4000  # labelled documents to fit on, at most
-SAMPLE_LINES = 400  # their lines used, at most: the first ones of each
+CHAIN = 400  # longer documents are fitted as several chains of so many lines; no line is left out
 THRESHOLD, FOLDS, HELD_OUT = 0.3, 5, 0
 STEPS, RATE, RIDGE = 300, 0.1, 1e-3
 
@@ -128,18 +129,19 @@ def fit(texts: list[str], labels: list[int]) -> Field:
     width = 3 * OWN + 1
     if not texts:
         return Field(np.zeros(width), np.zeros((2, 2)))
-    texts = ["\n".join(t.split("\n")[:SAMPLE_LINES]) for t in texts]
     x, _, n_lines = line_features(texts)
     x = x.astype(np.float64)
     y = np.repeat(np.array(labels, np.float64), n_lines)
     label = np.array(labels, np.int64)
+    chains = np.array([min(CHAIN, n - at) for n in n_lines.tolist() for at in range(0, n, CHAIN)], np.int64)
+    own = np.repeat(label, -(-n_lines // CHAIN))
     seen = np.zeros((2, 2))
     for k in (0, 1):
-        seen[k, k] = (n_lines[label == k] - 1).sum()
+        seen[k, k] = (chains[own == k] - 1).sum()
     weights, link = np.zeros(width), np.zeros((2, 2))
     m, v = np.zeros(width + 4), np.zeros(width + 4)
     for step in range(1, STEPS + 1):
-        good, pairs = marginals(x @ weights, link, n_lines)
+        good, pairs = marginals(x @ weights, link, chains)
         grad = np.concatenate([x.T @ (good - y) / len(y) + RIDGE * weights, ((pairs - seen) / len(y) + RIDGE * link).ravel()])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -166,28 +168,21 @@ def in_fold(doc_id: str = "doc_id"):
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Field:
-    """A field fitted on at most SAMPLE labelled rows outside the held-out fold, drawn by a hash of doc_id."""
+    """A field fitted on at most SAMPLE labelled rows outside the held-out fold, drawn by a hash of doc_id, whole texts.
+
+    Labels other than 0 and 1 and labels without a document are left out; a doc_id that repeats counts for each of its rows
+    up to SAMPLE. Without any label every score is 0.5.
+    """
     known = labels.where("quality in (0, 1)").select(F.col("doc_id").alias("k"), F.col("quality").cast("int").alias("quality"))
     drawn = known.where(in_fold("k") != HELD_OUT).orderBy(F.xxhash64("k"), "k", "quality").limit(SAMPLE)
     # the ids are at most SAMPLE, so they go to the documents and not the other way
     rows = docs.select("doc_id", "text").join(F.broadcast(drawn), F.col("doc_id") == F.col("k")).select("k", F.coalesce("text", F.lit("")).alias("text"), "quality")
-    first_lines = rows.withColumn("text", F.substring_index("text", "\n", SAMPLE_LINES)).orderBy("k", "quality", "text").limit(SAMPLE).collect()
-    return fit([r[1] for r in first_lines], [r[2] for r in first_lines])
-
-
-def _portions(texts: list[str], limit: int = 4_000_000):
-    lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield texts[lo:i]
-            lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield texts[lo:]
+    learned = rows.orderBy("k", "quality", "text").limit(SAMPLE).collect()
+    return fit([r[1] for r in learned], [r[2] for r in learned])
 
 
 def _scores(field: Field, texts: list[str | None]) -> np.ndarray:
-    parts = [field.scores(p) for p in _portions([t or "" for t in texts])]
+    parts = [field.scores(p) for _, p in in_portions([t or "" for t in texts], 4_000_000)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -213,7 +208,11 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose score is under THRESHOLD go; columns stay as they are."""
+    """Pipeline stage: documents whose score is under THRESHOLD go; columns stay as they are.
+
+    Null and empty texts go or stay by the score of an empty line. Null and repeated doc_ids and repeated rows are each
+    judged by their text. An empty table gives an empty one; extra columns may have any name.
+    """
     field = trained(docs, table(spark, sf_dir, "labels"))
     at, schema = docs.columns.index("text"), docs.schema
 
