@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import staged, table
+from ..sources.staging import staged
+from ._shared import table
 from .wordbpe import VOCABULARY, in_portions, shared_table
 
 CAPACITY, GROUPS, SMALL = 2048, 24, (512, 700, 1024)  # lengths over one of SMALL count as large; the best plan is taken
@@ -268,5 +269,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed pieces of all documents."""
+    """Pipeline stage: the packed pieces of all documents; nulls, repeated rows, empty tables and extra columns as in pack()."""
     return pack(docs)

@@ -1,7 +1,8 @@
 """Personal data: plain identifiers, and disguised ones found on a normalised copy whose spans map back to the source.
 
 Transducers rewrite a text and carry, for every character they write, the source characters it came from: homoglyphs and
-invisible characters, spelled digits, then at/dot disguises. Identifiers found on the result map back through that table.
+invisible characters, character references, spelled digits, then at/dot disguises. Identifiers found on the result map back
+through that table. All patterns bound the white space they take, so a text of any length costs linear time.
 """
 
 from __future__ import annotations
@@ -9,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -65,11 +65,15 @@ def identifiers(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-# Letters of other scripts drawn like Latin ones.
-HOMOGLYPHS = dict(zip(
-    "абвгдеёіїјкмнорсстухцѕԁԛԝһӏАВЕЅІЈКМНОРСТУХЗαικνορτυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧɑɡıᴏ․。·‐‑‒–—＠",
-    "a6brдee" "iijk" "mhopcct" "yxцsdqwhl" "ABESIJKMHOPCTYX3" "aikvoptux" "ABEZHIKMNOPTYX" "agio..." "-----@", strict=False))
-HOMOGLYPHS = {k: v for k, v in HOMOGLYPHS.items() if ord(v) < 128}
+# Letters and signs of other scripts drawn like Latin ones.
+HOMOGLYPHS = {
+    "а": "a", "в": "b", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p",
+    "с": "c", "ѕ": "s", "т": "t", "у": "y", "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w",
+    "А": "A", "В": "B", "Е": "E", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "З": "3",
+    "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
+    "ɑ": "a", "ɡ": "g", "ı": "i", "ᴏ": "o", "․": ".", "。": ".", "‐": "-", "‑": "-",
+}
 # Characters without width.
 INVISIBLE = "­​‌‍⁠﻿"
 # Digit words by language.
@@ -79,23 +83,37 @@ DIGIT_WORDS = {
     "zéro": 0, "un": 1, "deux": 2, "trois": 3, "quatre": 4, "cinq": 5, "sept": 7, "huit": 8, "neuf": 9,
     "cero": 0, "uno": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9,
 }
-
-# Endings that let the bare words "at" and "dot" stand for a disguise.
-ENDINGS = "com org net edu gov info biz io co uk de fr es eu us ca au ch at it nl".split()
-_END = "|".join(ENDINGS)
+# Endings that let bare words and spaced signs stand for a disguise; those that are English words need a bracket or
+# a plain sign beside them.
+ENDINGS = frozenset("com org net edu gov mil info biz name pro io co dev app ai xyz online shop store site tech cloud blog news email page "
+                    "uk de fr es eu ca au ch nl se pl dk fi ie nz cz gr hu pt br mx jp cn kr ru ua tr za tv museum at it us in no be is me".split())
+WORD_ENDINGS = frozenset("at it us in no be is me name pro page store news email".split())
+# Words before "at" or a spaced sign that name no mailbox.
+NOT_NAMES = frozenset("a about all also am an and are available back be bought buy by call contact found free get go going he her here him hosted i is it join just "
+                      "live look looked looking looks located me meet met more my new not now of off on online only or order our out page posted price published read "
+                      "register s see sell shop show site sold stay store t that the their them then there they this to up us visit was we website were what where "
+                      "with work working works you your".split())
 
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_DIGITS = re.compile(rf"(?i)\b(?:(?:{_WORD})\b[\s,-]{{1,3}}){{2,}}(?:{_WORD})\b")
-_SPELLED = re.compile(rf"(?i)(?:\bplus\b[\s,-]*)?(?:\+\s?)?(?:(?:\b(?:{_WORD})\b|[0-9]+)(?:[\s,-]{{1,3}}|(?=\+)))*\b(?:{_WORD})\b(?:[\s,-]{{1,3}}(?:\b(?:{_WORD})\b|[0-9]+))*")
-_ITEM = re.compile(rf"(?i)(?P<plus>\bplus\b)|(?P<word>\b(?:{_WORD})\b)|(?P<num>[0-9]+)|(?P<keep>\+)|(?P<gap>[\s,-]+)")
-_NAMED = rf"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{_END})\b"  # a domain with a known ending
-_AT = re.compile(rf"(?i)\s*[\[({{<]\s*(?:at|@)\s*[\])}}>]\s*|\s+at\s+(?={_NAMED})|\s+@\s*|\s*@\s+")
-# before a disguised dot the bare word needs no known ending; looked for while the dot still shows as one
-_AT_DISGUISED = re.compile(r"(?i)\s+at\s+(?=[A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)*\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*[A-Za-z0-9])")
-_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9-]+\s+dot\s|(?:" + _END + r")\b)")
-_HAS_AT = re.compile(rf"(?i)[\[({{<]\s*(?:at|@)\s*[\])}}>]|\s@|@\s|\sat\s+{_NAMED}")
-_HAS_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s")
+_DIGITS = re.compile(rf"(?i)\b(?:(?:{_WORD})\b[\s,-]{{1,3}}){{2}}(?:{_WORD})\b")
+_ITEM = re.compile(rf"(?i)(?P<plus>\bplus\b|\+)|(?:\b(?P<times>double|triple)[\s-]{{1,2}})?(?:\b(?P<word>{_WORD})\b|(?P<num>[0-9]+))|(?P<dot>\bdot\b)")
+_GAP = re.compile(r"[\s,-]{0,3}")
+_OPEN, _CLOSE = r"[\[({<]{1,2}[ \t]{0,2}", r"[ \t]{0,2}[\])}>]{1,2}"
+_ENTITY = re.compile(r"(?i)&(?:#0{0,4}64|#x0{0,4}40|commat);|&(?:#0{0,4}46|#x0{0,4}2e|period);")
+_HIDDEN_DOT = rf"[ \t]{{0,3}}{_OPEN}(?:dot|\.|punkt|punto|point){_CLOSE}[ \t]{{0,3}}|[ \t]{{1,3}}dot[ \t]{{1,3}}|[ \t]{{1,2}}\.[ \t]{{1,2}}"
+_LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
+_SPLIT = re.compile(rf"(?i)(\.|{_HIDDEN_DOT})")
+_ADDRESS = re.compile(
+    rf"(?i)(?<=[A-Za-z0-9])(?:(?P<bracket>[ \t]{{0,3}}{_OPEN}(?:at|@|arroba){_CLOSE}[ \t]{{0,3}})|(?P<bare>[ \t]{{1,3}}at[ \t]{{1,3}}|[ \t]{{0,3}}@[ \t]{{1,3}})|@)"
+    rf"(?P<domain>{_LABEL}(?:(?:\.|{_HIDDEN_DOT}){_LABEL}){{1,5}})")
+_JOINED = re.compile(r"(?i)(?<=[A-Za-z0-9])([_-])at\1([A-Za-z0-9]{1,63}(?:\1dot\1[A-Za-z0-9]{1,63}){1,5})")
+_BEFORE = re.compile(rf"(?i)[A-Za-z0-9._%+-]+(?:(?:{_HIDDEN_DOT})[A-Za-z0-9_%+-]+){{0,4}}\Z")
+_SPACED = re.compile(r"(?<![^\s])(?:[A-Za-z0-9][ \t]){2,30}[A-Za-z0-9]\Z")
+_QUAD = re.compile(rf"(?i)(?<![0-9.])[0-9]{{1,3}}(?:(?:\.|{_HIDDEN_DOT})[0-9]{{1,3}}){{3}}(?![0-9])")
 _FOREIGN = re.compile("[" + re.escape("".join(HOMOGLYPHS) + INVISIBLE) + "①-⓿⁰-₟！-～\U0001d400-\U0001d7ff]")
+_REACH = 160  # characters before a sign that its local part may take
+
+Edit = tuple[int, int, str]
 
 
 class Mapped:
@@ -106,77 +124,154 @@ class Mapped:
         self.lo = list(range(len(text))) if lo is None else lo
         self.hi = list(range(1, len(text) + 1)) if hi is None else hi
 
-    def rewrite(self, pattern: re.Pattern, to: Callable[[re.Match], str | None]) -> Mapped:
-        """Each match becomes to(match); None keeps it. What is written stands for the match's whole source."""
+    def rewritten(self, edits: list[Edit]) -> Mapped:
+        """Each (a, b, new) puts new in the place of text[a:b]; what is written stands for that place's whole source. Edits are
+        in order and don't overlap."""
+        if not edits:
+            return self
         text, lo, hi, last = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            new = to(m)
-            if new is None or m.end() == m.start():
-                continue
-            a, b = m.span()
+        for a, b, new in edits:
             text += [self.text[last:a], new]
             lo += self.lo[last:a] + [self.lo[a]] * len(new)
             hi += self.hi[last:a] + [self.hi[b - 1]] * len(new)
             last = b
-        if not last:
-            return self
         return Mapped("".join(text) + self.text[last:], lo + self.lo[last:], hi + self.hi[last:])
 
 
-def _letter(m: re.Match) -> str:
-    c = m[0]
-    if c in INVISIBLE:
-        return ""
-    plain = HOMOGLYPHS.get(c) or unicodedata.normalize("NFKC", c)
-    return plain if plain.isascii() else c
+def _letters(text: str) -> list[Edit]:
+    """Homoglyphs, invisible characters and compatibility forms."""
+    out = []
+    for m in _FOREIGN.finditer(text):
+        c = m[0]
+        plain = "" if c in INVISIBLE else HOMOGLYPHS.get(c) or unicodedata.normalize("NFKC", c)
+        if plain.isascii():
+            out.append((m.start(), m.end(), plain))
+    return out
+
+
+def _entities(text: str) -> list[Edit]:
+    return [(m.start(), m.end(), "@" if m[0].rstrip(";").endswith(("64", "40", "mat", "MAT")) else ".") for m in _ENTITY.finditer(text)]
+
+
+def _run_edits(text: str, run: list[re.Match]) -> list[Edit]:
+    """Digits for a run of number items, if three digit words stand in a row in it or three spelled dots part it."""
+    while run and run[-1]["dot"]:
+        run.pop()
+    if not run or not (sum(m["dot"] is not None for m in run) >= 3 or _DIGITS.search(text, run[0].start(), run[-1].end())):
+        return []
+    out, last = [], run[0].start()
+    for m in run:
+        if m.start() > last:
+            out.append((last, m.start(), ""))
+        digits = m["num"] if m["word"] is None else str(DIGIT_WORDS[m["word"].lower()])
+        new = "." if m["dot"] else "+" if m["plus"] else digits[:1] * (3 if m["times"].lower() == "triple" else 2) + digits[1:] if m["times"] else digits
+        if new != m[0]:
+            out.append((m.start(), m.end(), new))
+        last = m.end()
+    return out
 
 
-def _item(m: re.Match) -> str:
-    if m["plus"] or m["keep"]:
-        return "+"
-    if m["word"]:
-        return str(DIGIT_WORDS[m["word"].lower()])
-    return m["num"] or ""
+def _numbers(text: str) -> list[Edit]:
+    """Spelled digits: runs of digit words, numbers, spelled dots between them and a leading plus, up to three signs apart."""
+    out, run = [], []
+    for m in _ITEM.finditer(text):
+        follows = run and not m["plus"] and not (m["dot"] and (run[-1]["dot"] or run[-1]["plus"])) and _GAP.fullmatch(text, run[-1].end(), m.start())
+        if not follows:
+            out += _run_edits(text, run)
+            run = []
+            if m["dot"]:
+                continue
+        run.append(m)
+    return out + _run_edits(text, run)
+
+
+def _domain(text: str, lo: int, hi: int, bracket: bool, bare: bool) -> tuple[int, list[Edit]]:
+    """Where the domain in text[lo:hi] ends (lo if none does) and the edits of its dots; labels too many at its end go."""
+    parts = _SPLIT.split(text[lo:hi])
+    labels, dots = parts[0::2], parts[1::2]
+    while len(labels) > 1:
+        end, dot = labels[-1].lower(), dots[-1]
+        sure = bracket or any(d.strip()[:1] in "[({<" for d in dots if d.strip())
+        plain = dot == "." or dot.strip()[:1] in "[({<"
+        if end.isalpha() and len(end) > 1 and (sure and plain or not bare and plain or end in ENDINGS and (plain or end not in WORD_ENDINGS)):
+            break
+        labels.pop()
+        dots.pop()
+    if len(labels) < 2:
+        return lo, []
+    edits, at = [], lo
+    for label, dot in zip(labels, [*dots, ""]):
+        at += len(label)
+        if dot and dot != ".":
+            edits.append((at, at + len(dot), "."))
+        at += len(dot)
+    return at, edits
+
+
+def _addresses(text: str) -> list[Edit]:
+    """At and dot disguises of addresses; whether one counts depends on its own surroundings alone."""
+    out, at = [], 0
+    while m := _ADDRESS.search(text, at):
+        at = m.start() + 1
+        bracket, bare = m["bracket"] is not None, m["bare"] is not None
+        end, dots = _domain(text, m.start("domain"), m.end("domain"), bracket, bare)
+        if end == m.start("domain") or not (bracket or bare or dots):
+            continue
+        begin = max(0, m.start() - _REACH, out[-1][1] if out else 0)
+        before = text[begin : m.start()]
+        if spaced := _SPACED.search(before):
+            local = [(begin + i, begin + i + 1, "") for i in range(spaced.start(), spaced.end()) if before[i] in " \t"]
+        elif named := _BEFORE.search(before):
+            local = [(begin + named.start() + d.start(), begin + named.start() + d.end(), ".") for d in _SPLIT.finditer(named[0]) if d[0] != "."]
+            word = re.split(r"[ \t]", named[0])[-1].lower()
+            if bare and word in NOT_NAMES and not any(text[a:b].strip()[:1] in ("[", "(", "{", "<") for a, b, _ in dots):
+                continue
+        else:
+            continue
+        sign = (m.start(), m.start("domain"), "@")
+        out += [*local, *([sign] if text[sign[0] : sign[1]] != "@" else []), *dots]
+        at = end
+    return out
 
 
-def _digits(m: Mapped) -> Mapped:
-    runs = [r.span() for r in _SPELLED.finditer(m.text) if _DIGITS.search(r[0])]
-    inside = iter(runs)
-    now = next(inside, None)
+def _joined_addresses(text: str) -> list[Edit]:
+    out = []
+    for m in _JOINED.finditer(text):
+        labels = re.split(rf"(?i){m[1]}dot{m[1]}", m[2])
+        if labels[-1].lower() in ENDINGS:
+            out.append((m.start(), m.end(), "@" + ".".join(labels)))
+    return out
 
-    def to(x: re.Match) -> str | None:
-        nonlocal now
-        while now and x.start() >= now[1]:
-            now = next(inside, None)
-        return _item(x) if now and now[0] <= x.start() and x.end() <= now[1] else None
 
-    return m.rewrite(_ITEM, to)
+def _quads(text: str) -> list[Edit]:
+    return [(m.start() + d.start(), m.start() + d.end(), ".") for m in _QUAD.finditer(text) for d in _SPLIT.finditer(m[0]) if d[0] != "."]
 
 
-def _disguised(text: str) -> bool:
-    """Whether _AT or _DOT can match: true wherever one does, so what else a text holds decides nothing."""
-    return bool(_HAS_DOT.search(text) or _HAS_AT.search(text))
+def _hides_dots(low: str) -> bool:
+    return "dot" in low or any(x in low for x in ("[.", "(.", "{.", "<.", " . ", "[ .", "( .", "punkt", "punto", "point", "\t"))
 
 
 def normalised(text: str) -> Mapped | None:
-    """The rewritten text, or None where no transducer has anything to rewrite."""
-    foreign = _FOREIGN.search(text)
-    spelled = _DIGITS.search(text)
-    if not (foreign or spelled or _disguised(text)):
-        return None
-    m = Mapped(text)
-    if foreign:
-        m = m.rewrite(_FOREIGN, _letter)
-        spelled = _DIGITS.search(m.text)
-    if spelled:
-        m = _digits(m)
-    if _disguised(m.text):
-        m = m.rewrite(_AT_DISGUISED, lambda _: "@").rewrite(_DOT, lambda _: ".").rewrite(_AT, lambda _: "@")
+    """The rewritten text, or None where no transducer has anything to rewrite. The checks before each one only spare work:
+    each holds wherever the transducer has an edit."""
+    m = Mapped(text) if not text.isascii() and _FOREIGN.search(text) else None
+    if m:
+        m = m.rewritten(_letters(text))
+    for may, edits in (
+        (lambda t: "&" in t, _entities),
+        (lambda t: _DIGITS.search(t) or t.lower().count("dot") >= 3, _numbers),
+        (lambda t: _hides_dots(t.lower()), _quads),
+        (lambda t: "_at_" in (low := t.lower()) or "-at-" in low, _joined_addresses),
+        (lambda t: True, _addresses),
+    ):
+        now = m.text if m else text
+        if may(now) and (found := edits(now)):
+            m = (m or Mapped(text)).rewritten(found)
     return m
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
-    """Base spans and those that only the normalised text shows (where they overlap no base span of their kind)."""
+    """Base spans and those that only the normalised text shows: of spans of a kind none that lies within a base one."""
     base = identifiers(text) if base is None else base
     m = normalised(text)
     if m is None or m.text == text:
@@ -184,7 +279,7 @@ def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
     out = list(base)
     for kind, a, b in identifiers(m.text):
         lo, hi = m.lo[a], m.hi[b - 1]
-        if not any(k == kind and lo < e and s < hi for k, s, e in base):
+        if not any(k == kind and s <= lo and hi <= e for k, s, e in base):
             out.append((kind, lo, hi))
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -233,7 +328,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every span of personal data becomes its kind's name; n_chars follows where it is a column."""
+    """Pipeline stage: every span of personal data becomes its kind's name; n_chars follows where it is a column.
+
+    Null and empty texts stay as they are, as do null and repeated doc_ids, repeated rows and all other columns whatever their
+    names; an empty table gives an empty one.
+    """
     names, schema = docs.columns, docs.schema
 
     def run(batches):

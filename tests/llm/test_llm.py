@@ -64,6 +64,21 @@ def test_awkward_rows_of_the_others(spark, awkward):
         assert out.columns == awkward.columns and out.count() > 0 and stage(spark, awkward.where("false"), SF).count() == 0
 
 
+def test_stages_with_clashing_names(spark):
+    """Columns named like the stages' own, null and repeated ids: every stage keeps all columns and their values."""
+    shared = " ".join(f"s{i}" for i in range(80))
+    extra = ["k", "own", "removed", "fp_", "id_", "none_", "place_", "kept_id", "own_fp", "K_", "doc_id_"]
+    rows = [(1, shared + " one"), (2, "x " + shared), (None, shared), (3, None), (3, "three words here"), (4, "")]
+    docs = spark.createDataFrame([(i, t, *[f"{n}{j}" for n in extra]) for j, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in extra))
+    for stage in (simhash.keep_one, substring.dedup_stage, pii.mask_stage, quality.quality_stage):
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        tags = [r["own_fp"][6:] for r in out.collect()]
+        assert len(set(tags)) == len(tags) and all(r["k"] == "k" + r["own"][3:] for r in out.collect())
+    left = {r["k"]: r.text for r in substring.dedup_stage(spark, docs, SF).collect()}
+    assert left == {"k0": shared + " one", "k1": "x", "k2": shared, "k3": None, "k4": "three words here", "k5": ""}
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 300)] + [(500, 500)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
@@ -175,6 +190,64 @@ def test_pii_disguises(text, kind, span):
     assert pii.all_spans(text) == [(kind, text.index(span), text.index(span) + len(span))]
 
 
+HIDE = {
+    "email": [lambda x: x.replace("@", " [at] ").replace(".", " [dot] "), lambda x: x.replace("@", "(at)").replace(".", "(dot)"), lambda x: x.replace("@", " at ").replace(".", " dot "),
+              lambda x: x.replace("@", "&#64;").replace(".", "&#46;"), lambda x: x.replace("o", "\u043e").replace("e", "\u0435"), lambda x: "\u200b".join(x), lambda x: x.replace("@", "_at_").replace(".", "_dot_"),
+              lambda x: x.replace("@", " @ "), lambda x: x.replace("@", "\uff20"), lambda x: x.replace(".", " dot "), lambda x: " ".join(x.split("@")[0]) + " @ " + x.split("@")[1].replace(".", " . ")],
+    "ip": [lambda x: x.replace(".", "[.]"), lambda x: x.replace(".", " dot "), lambda x: x.replace(".", "(dot)"), lambda x: " dot ".join(" ".join(NUMBERS[int(c)] for c in p) for p in x.split(".")), lambda x: x.replace("1", "\uff11")],
+    "phone": [lambda x: "plus " + " ".join(NUMBERS[int(c)] for c in x[1:]), lambda x: x[:4] + " " + " ".join(NUMBERS[int(c)] for c in x[4:]), lambda x: "".join(chr(ord(c) + 0xFEE0) if c.isdigit() else c for c in x)],
+    "card": [lambda x: " ".join(NUMBERS[int(c)] for c in x), lambda x: x[:8] + " " + " ".join(NUMBERS[int(c)] for c in x[8:]), lambda x: "\u200b".join(x)],
+}
+NUMBERS = "zero one two three four five six seven eight nine".split()
+
+
+def test_pii_generated_disguises():
+    """Each disguise of each kind is found whole, in nine of ten cases at least."""
+    import random
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("bcdfghklmnprstoe") for _ in range(n))
+
+    def card():
+        body = [r.randrange(10) for _ in range(15)]
+        return "".join(map(str, body)) + next(str(c) for c in range(10) if pii._luhn("".join(map(str, body)) + str(c)))
+
+    make = {"email": lambda: f"{word(6)}@{word(7)}.{r.choice(['com', 'org', 'dev', 'net'])}", "ip": lambda: ".".join(str(r.randrange(10, 255)) for _ in range(4)),
+            "phone": lambda: "+" + str(r.randrange(10**10, 10**12)), "card": card}
+    for kind, disguises in HIDE.items():
+        for i, hide in enumerate(disguises):
+            found = 0
+            for _ in range(60):
+                shown = hide(make[kind]())
+                text = f"{word(5)} {word(4)}, {shown}; {word(6)}."
+                at = text.index(shown)
+                found += (kind, at, at + len(shown)) in pii.all_spans(text)
+            assert found >= 54, (kind, i, found, shown)
+
+
+CLEAN = [
+    "thanks to @anna.smith for this", "price 5 @ 3.50 each", "follow us @acme.com today", "available at example.com and in shops", "shop at amazon.com or at home", "look at it dot it", "we met at noon dot the i",
+    "one two three go", "between two and three, four or five", "at 5 dot 3 it broke", "version 1.2.3 of 5", "see (at) home", "a dot product at the end", "Look at readme.md or at node.js", "meet me at the gate. It is late", "un deux trois", "he works at acme.io now",
+]
+
+
+def test_pii_leaves_clean_texts_alone():
+    for t in CLEAN:
+        assert pii.all_spans(t) == [] and pii.masked(t) == t, t
+
+
+@pytest.mark.parametrize("unit", [" ", "a ", "1 2 3 ", "one two ", "a@", "a. ", "a dot ", "([{", "bob at ", "+", "a at b. c ", "1.2.3."])
+def test_pii_takes_linear_time(unit):
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        pii.all_spans(unit * n + "[at]")
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.3
+
+
 @pytest.mark.parametrize("other", ["", " see a [at] b", " a dot b", " he @ home"])
 def test_pii_bare_at_by_its_own_surroundings(other):
     text = "write to jane at example.com today" + other
@@ -192,12 +265,35 @@ def test_pii_leaves_prose_alone():
 
 def test_media_round_trip(docs, texts):
     for r in media.media_column(docs).limit(40).collect():
+        assert f"{len(r.pairs)}:{hashlib.sha256(np.array(r.pairs, '<i8').tobytes()).hexdigest()}" == r.feature
         n, payload = media.padded(texts[r.doc_id])
         back = media.from_wav(bytes(r.media))
         assert back == payload and back[:n].decode() == texts[r.doc_id]
         assert (r.payload_sha256, r.tail_crc32, r.media_bytes) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(payload) + 44)
 
 
+def test_peaks_and_pairs_by_a_plain_transform(texts):
+    """Every frame's strongest bins by a matrix of sines, and every pair by loops."""
+    n = np.arange(media.UNIT)
+    matrix = np.exp(-2j * np.pi * np.outer(np.arange(media.UNIT // 2 + 1), n) / media.UNIT)
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * n / (media.UNIT - 1))
+    for text in [*sorted(texts.values(), key=len)[:6], "abc" * 400]:
+        raw = np.frombuffer(media.padded(text)[1], np.uint8).astype(float) - 128
+        power = np.array([np.abs(matrix @ (raw[at : at + media.UNIT] * window)) ** 2 for at in range(0, len(raw) - media.UNIT + 1, media.HOP)])
+        got, want, close = media.peaks(np.frombuffer(media.padded(text)[1], np.uint8)), [], 0
+        for t in range(len(power)):
+            for k, (lo, hi) in enumerate(media.BANDS):
+                best = lo + int(power[t, lo:hi].argmax())
+                around = [power[x, best] for x in (t - 1, t + 1) if 0 <= x < len(power)]
+                peak = best if power[t, best] > 1e-3 and all(power[t, best] >= x for x in around) else -1
+                want.append((t, k, peak))
+                close += got[t, k] == peak
+        assert close >= 0.99 * len(want)  # float32 and equal bins may differ
+        codes = {(t << 24) | (got[t, k] << 16) | (got[t + d, j] << 8) | d for t in range(len(got)) for k in range(len(media.BANDS)) if got[t, k] >= 0
+                 for d in range(1, media.REACH + 1) if t + d < len(got) for j in range(len(media.BANDS)) if got[t + d, j] >= 0}
+        assert sorted(codes) == media.pair_codes(got).tolist()
+
+
 def test_media_portions_agree(monkeypatch):
     raw = np.frombuffer((LONG + " " * (-len(LONG) % 192)).encode(), np.uint8)
     whole = media.pair_codes(media.peaks(raw))
@@ -235,6 +331,17 @@ def test_quality_held_out(spark):
     assert ((got.score >= 0.3) == (got.predicted == 1)).all() and (got.predicted == got.quality).mean() > 0.95
 
 
+def test_quality_fits_whole_texts(monkeypatch):
+    long = "\n".join(["good words here"] * 30 + ["||| !!! ###"] * 5)
+    texts, labels = [long, "||| !!! ###\n|||"] * 6, [1, 0] * 6
+    whole = quality.fit(texts, labels)
+    monkeypatch.setattr(quality, "CHAIN", 7)
+    cut = quality.fit(texts, labels)
+    assert ((whole.scores(texts) > 0.5) == np.array(labels, bool)).all() and np.abs(whole.scores(texts) - cut.scores(texts)).max() < 0.2
+    none = quality.fit([], [])
+    assert none.scores(["a", ""]).tolist() == [0.5, 0.5]
+
+
 def test_quality_marginals_brute_force():
     from itertools import product
 
@@ -268,7 +375,7 @@ def test_cws_estimates_generalised_jaccard(docs, texts):
         assert out[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and out[a].n_chars == len(x)
         p, q = collections.Counter(x.split()), collections.Counter(edited.split())
         errors.append(out[a].near_edited - sum((p & q).values()) / max(1, sum((p | q).values())))
-    assert abs(np.mean(errors)) < 0.03 and np.sqrt(np.mean(np.square(errors))) < 0.14
+    assert abs(np.mean(errors)) < 0.02 and np.sqrt(np.mean(np.square(errors))) < 0.075
 
 
 def test_cws_equal_texts(spark):
