@@ -459,6 +459,53 @@ def test_html_text_after_an_open_element_stays(tag):
         assert not {"A", "B"} & set(found)
 
 
+PARA = "<p>The committee met on Tuesday, and after a long debate it agreed on the plan. Nobody expected that outcome, but it was welcome to all.</p>"
+
+
+@pytest.mark.parametrize("around", [
+    '<div class="container with-sidebar"><article>%s</article></div>', '<article class="post hentry tag-python category-news">%s</article>', '<main class="search-page"><article>%s</article></main>',
+    '<div class="has-header"><main>%s</main></div>', '<form id="aspnetForm"><div>%s</div></form>', '<div class="widget">%s</div>', "<div><div>%s</div></div>", '<table><tr><td class="sidebar-left">%s</table>'])
+def test_html_names_around_an_article_decide_nothing(around):
+    page = "<html><body><nav><a href=1>Home</a> <a href=2>News</a></nav>" + around % ("<h1>Title of the piece here</h1>" + PARA * 4) + "<footer>&copy; 2020 us. All rights reserved.</footer></body></html>"
+    lines = html.main_text(page).split("\n")
+    assert len([x for x in lines if x.startswith("The committee")]) == 4 and not any("Home" in x or "rights" in x for x in lines)
+
+
+OUTSIDE = ['<div class="ad-banner"><p>Buy our new phone today. It is cheap, and fast.</p></div>', '<ul class="menu"><li><a href=/a>Sports</a><li><a href=/b>Politics</a></ul>', '<div id="comments"><article class="comment"><p>' + "I liked this a lot, thanks for it. " * 6 + "</p></article></div>",
+           '<aside><p>See also our other stories. They are good.</p></aside>', '<div class="cookie-notice">We use cookies to make the site better. Do you agree?</div>', '<form><label>Your mail</label><button>Send</button></form>', '<div class="related-posts"><h3>More</h3><ul><li><a href=1>One more story</a><li><a href=2>Another story</a></ul></div>',
+           "<script>var p = '<p>no</p>';</script><style>p{}</style>"]
+
+
+@pytest.mark.parametrize("inside", ["<h1>Title of the piece here</h1>" + PARA * 3 + "<p>Short.</p>" + PARA, "<h2>Title of the piece here</h2><div>" + "A long line of plain text, without any paragraph, that goes on for a while. " * 3 + "</div>" + PARA + "<ul><li>first point<li>second point</ul>" + PARA,
+                                    "<h1>Title of the piece here</h1>" + PARA + "<pre>x = 1</pre>" + PARA + "<math><mi>x</mi></math>" + PARA])
+def test_html_pages_without_an_article_element(inside):
+    page = "<html><head><title>T</title></head><body><header><a href=/>Logo</a></header>" + "".join(OUTSIDE[:2]) + f"<div>{inside}</div>" + "".join(OUTSIDE[2:]) + "<footer>Imprint</footer></body></html>"
+    want = [b.text for b in html.blocks(f"<body><div>{inside}</div></body>")]
+    assert html.main_text(page).split("\n") == want
+
+
+def test_the_cut_changes_labels_for_the_better():
+    """Blocks priced against their neighbours get the neighbours' label: short lines of an article, long ones of a menu."""
+    page = "<body><div>" + PARA * 3 + "<div>one</div><p>Yes.</p><ul><li>a point</li><li>one more</li></ul>" + PARA * 2 + "</div><nav><ul>" + "<li><a href=1>Some page</a></li>" * 6 + "</ul></nav></body>"
+    found = html.blocks(page)
+    alone = [html.score(b) >= 0 for b in found]
+    kept = html.main_text(page).split("\n")
+    want = [b.text for b in found if b.text != "Some page"]
+    assert kept == want and sum(a != (b.text != "Some page") for a, b in zip(alone, found)) >= 3
+
+
+@pytest.mark.parametrize("unit", ["<b><hr>x", "<svg>", "<div>", "<li><ul>x", "<button>", "<option>x", "<center>", "<a b='", "<", "<!--", "<td>x", "<p>a b c", "<select><option>"])
+def test_html_takes_linear_time(unit):
+    import time
+
+    took = []
+    for n in (5_000, 20_000):
+        began = time.process_time()
+        html.main_text("<p><dl><dt><ul>" + unit * n + "<dt>x</svg></button>")
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.3
+
+
 def test_minimum_cut_brute_force():
     from itertools import product
 
