@@ -305,22 +305,33 @@ def test_media_portions_agree(monkeypatch):
 
 
 def test_lm_brute_force(docs, texts, monkeypatch):
-    monkeypatch.setattr(lm, "_BLOCK", 100_000)
+    """All orders against counters of the other documents, with several blocks and parts."""
+    monkeypatch.setattr(lm, "_BLOCK", 50_000)
+    monkeypatch.setattr(lm, "_PART", 100_000)
     w = {i: t.encode().lower().split() for i, t in texts.items()}
-    for order in (1, 2, 3):
-        c = [collections.Counter(tuple(x[i : i + n]) for x in w.values() for i in range(len(x) - n + 1)) for n in range(order + 1)]
+    grams = lambda x, n: collections.Counter(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    for order in (1, 3):
+        c = [None, *(sum((grams(x, n) for x in w.values()), collections.Counter()) for n in range(1, order + 1))]
         total = sum(c[1].values())
+        for r in lm.score(docs, order).collect():
+            x = w[r.doc_id]
+            own = [None, *(grams(x, n) for n in range(1, order + 1))]
+            rest = lambda g: c[len(g)][g] - own[len(g)][g]  # noqa: B023, E731
 
-        def s(x, i):
-            for n in range(min(order, i + 1), 1, -1):
-                g = tuple(x[i - n + 1 : i + 1])
-                if c[n][g] >= lm.LEAST:
-                    return (min(order, i + 1) - n) * math.log(lm.BACKOFF) + math.log(c[n][g] / c[n - 1][g[:-1]])
-            return (min(order, i + 1) - 1) * math.log(lm.BACKOFF) + math.log(c[1][(x[i],)] / total)
+            def s(i):
+                for n in range(min(order, i + 1), 1, -1):
+                    g = tuple(x[i - n + 1 : i + 1])  # noqa: B023
+                    if rest(g) > 0:  # noqa: B023
+                        return (min(order, i + 1) - n) * math.log(lm.BACKOFF) + math.log(rest(g) / rest(g[:-1]))  # noqa: B023
+                return (min(order, i + 1) - 1) * math.log(lm.BACKOFF) + math.log(max(rest((x[i],)), lm.UNSEEN) / max(total - len(x), 1))  # noqa: B023
 
-        for r in lm.score(docs, order).collect():
-            assert r.n_words == len(w[r.doc_id])
-            assert r.log_score == pytest.approx(sum(s(w[r.doc_id], i) for i in range(len(w[r.doc_id]))), rel=1e-9)
+            assert r.n_words == len(x) and r.log_score == pytest.approx(sum(map(s, range(len(x)))), rel=1e-9)
+
+
+def test_lm_copies_speak_for_each_other(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    got = {r.doc_id: r.mean_log for r in lm.score(frame(spark, [(1, one), (2, one), (3, two)])).collect()}
+    assert got[1] == got[2] > -0.1 and got[3] < -5
 
 
 def test_quality_held_out(spark):
