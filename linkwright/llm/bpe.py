@@ -1,10 +1,10 @@
 """Encoding and decoding through a table of distinct words that is spread over the cluster.
 
-Documents are dealt into blocks by hash. Each block asks for its distinct words: one sorted list for each part of the
-word table, compressed, so a word costs a few bytes however often it occurs. A part of the table gathers the lists of all
-blocks, encodes each distinct word once, joins the ids to the vocabulary's pieces, and answers each block in the order of
-its list. A block then puts ids and pieces back by position. Documents are shuffled once (both uses read one exchange);
-no task holds more than a block or a part, whose number follows the size of the input.
+Spark splits the texts into words. A block of documents becomes the list of its distinct words and each text the positions
+of its words in that list. A block asks the word table for its list, one packed row for each part of the table that has any
+of it; a part encodes each of its distinct words once, whichever blocks ask for it, and answers. Spark joins the ids to the
+vocabulary's pieces. Back at the block, ids and pieces are joined to the texts by position. Texts themselves aren't shuffled,
+and no task holds more than a block or a part at a time; a row for each word and text would take more disk than the input.
 """
 
 from __future__ import annotations
@@ -14,115 +14,167 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import blocks_for, table, text_bytes
-from .wordbpe import VOCABULARY, encode_words, load, split_words
+from .wordbpe import VOCABULARY, encode_words, load
 
-_BLOCK = 26 << 20  # bytes of text in a block
-_SEP = "\n"  # never inside a word
-
-
-def _asked(texts: list[str], parts: int) -> list[list[str]]:
-    """A block's distinct words, for each part of the table, in an order that depends on the words alone."""
-    words = list(set().union(*map(split_words, texts))) if texts else []
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    order = np.lexsort((h, h % np.uint64(parts)))
-    if (h[order][1:] == h[order][:-1]).any():  # equal hashes: the words themselves decide
-        order = np.array(sorted(range(len(words)), key=lambda i: (int(h[i]) % parts, int(h[i]), words[i])), np.int64)
-    cuts = np.searchsorted((h % np.uint64(parts))[order], np.arange(1, parts), "left")
-    return [[words[i] for i in own.tolist()] for own in np.split(order, cuts)]
+_WORDS = 1_500_000  # words of a block's texts, more only for a longer text
+_PART, _TASK = 24 << 20, 16 << 20  # bytes of text behind a part of the table, and behind a task over blocks
+_SEP = "\n"  # never inside a word or a piece
 
 
 def _pack(a: np.ndarray) -> bytes:
-    """Compressed, in the fewest bytes that hold the largest; the first byte tells how many."""
+    """Compressed, in the fewest bytes that hold the largest, byte planes apart; the first byte tells how many."""
     width = 1 if not len(a) or a.max() < 1 << 8 else 2 if a.max() < 1 << 16 else 4
-    return bytes([width]) + zlib.compress(a.astype(f"<u{width}").tobytes(), 3)
+    return bytes([width]) + zstandard.ZstdCompressor(3).compress(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def _unpack(b: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b[1:]), f"<u{b[0]}")
-
-
-def _requests(parts: int):
-    def ask(docs: pd.DataFrame) -> pd.DataFrame:
-        asked = _asked([t or "" for t in docs["text"]], parts)
-        some = [p for p in range(parts) if asked[p]]
-        return pd.DataFrame({"block": int(docs["block"].iloc[0]), "part": some, "words": [zlib.compress(_SEP.join(asked[p]).encode(), 3) for p in some]})
-
-    return ask
+    width = b[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+
+
+_BLOCK = "block bigint, ids array<bigint>, sizes array<int>, at binary, words binary, cuts array<int>"
+_KINDS = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int32()))
+
+
+def _block(block: int, ids: list, sizes: list[int], words: list[pa.Array], parts: int) -> pa.RecordBatch:
+    """A block's row: its distinct words ordered by part of the table, where each part's begin, and its texts as positions."""
+    coded = pc.dictionary_encode(pa.concat_arrays([w.cast(pa.large_string()) for w in words]))
+    distinct = coded.dictionary.to_pylist()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct), np.uint64, len(distinct))
+    part = (h % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    at = rank[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.int64)
+    text = zstandard.ZstdCompressor(3).compress(_SEP.join([distinct[i] for i in order.tolist()]).encode())
+    row = (block, ids, sizes, _pack(at), text, cuts.tolist())
+    return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, _KINDS)], names=["block", "ids", "sizes", "at", "words", "cuts"])
+
+
+def _blocks(parts: int):
+    def run(batches):
+        task = TaskContext.get()
+        block, ids, sizes, words, held = (task.partitionId() if task else 0) << 32, [], [], [], 0
+        for b in batches:
+            lists = b.column(1)
+            counts = pc.list_value_length(lists).to_pylist()
+            names, lo = b.column(0).to_pylist(), 0
+            for i, n in enumerate(counts):
+                if ids and held + n > _WORDS:
+                    words.append(lists.slice(lo, i - lo).flatten())
+                    yield _block(block, ids, sizes, words, parts)
+                    block, ids, sizes, words, held, lo = block + 1, [], [], [], 0, i
+                ids.append(names[i])
+                sizes.append(n)
+                held += n
+            words.append(lists.slice(lo).flatten())
+        if ids:
+            yield _block(block, ids, sizes, words, parts)
+
+    return run
+
+
+def _asked(row: dict) -> list[str]:
+    return zstandard.ZstdDecompressor().decompress(row["words"]).decode().split(_SEP) if row["cuts"][-1] else []
+
+
+def _requests(batches):
+    for b in batches:
+        for row in b.to_pylist():
+            words, cuts = _asked(row), row["cuts"]
+            some = [p for p in range(len(cuts) - 1) if cuts[p] < cuts[p + 1]]
+            lists = [zlib.compress(_SEP.join(words[cuts[p] : cuts[p + 1]]).encode(), 3) for p in some]
+            yield pa.RecordBatch.from_arrays([pa.array([row["block"]] * len(some), pa.int64()), pa.array(some, pa.int32()), pa.array(lists, pa.binary())], names=["block", "part", "words"])
 
 
 def _answers(vocabulary: str):
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokenizer = load(vocabulary)
+        """The part's distinct words encoded, and each block's list answered: how many ids each word has, and all ids."""
         lists = [zlib.decompress(x).decode().split(_SEP) for x in pdf["words"]]
         distinct = sorted(set().union(*lists))
-        flat, counts = encode_words(tokenizer, distinct)
+        flat, counts = encode_words(load(vocabulary), distinct)
         at = dict(zip(distinct, range(len(distinct))))
         starts = np.cumsum(counts) - counts
         rows = []
-        for block, words in zip(pdf["block"], lists):
+        for block, part, words in zip(pdf["block"], pdf["part"], lists):
             k = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
             n = counts[k]
             ids = flat[np.repeat(starts[k] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            rows.append((block, pdf["part"].iloc[0], _pack(n), _pack(ids)))
+            rows.append((block, part, _pack(n), ids))
         return pd.DataFrame(rows, columns=["block", "part", "counts", "ids"])
 
     return answer
 
 
-def _joined(vocabulary: str, parts: int, digests: bool):
-    def join(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        names, texts = docs["doc_id"], [t or "" for t in docs.pop("text")]
-        tokenizer = load(vocabulary)
-        number = [str(i) for i in range(tokenizer.get_vocab_size())]
-        piece = list(map(tokenizer.id_to_token, range(len(number))))
-        asked = _asked(texts, parts)
-        del docs
-        at, id_text, piece_text, sizes = {}, [], [], []
-        for part, counts, ids in zip(answers["part"], answers["counts"], answers["ids"]):
-            n, flat = _unpack(counts).tolist(), _unpack(ids).tolist()
-            at.update(zip(asked[part], range(len(sizes), len(sizes) + len(n))))
-            numbers, pieces, lo = list(map(number.__getitem__, flat)), list(map(piece.__getitem__, flat)), 0
-            for m in n:
-                hi = lo + m
-                id_text.append(numbers[lo] if m == 1 else " ".join(numbers[lo:hi]))
-                piece_text.append(pieces[lo] if m == 1 else " ".join(pieces[lo:hi]))
-                lo = hi
-            sizes += n
-        some = min(sizes, default=1) == 0  # words without ids leave no space behind
-        total = np.array(sizes, np.int64)
-        rows = []
-        for doc_id, text in zip(names, texts):
-            rows_of = list(map(at.__getitem__, split_words(text)))
-            ids, decoded = map(id_text.__getitem__, rows_of), map(piece_text.__getitem__, rows_of)
+def _joined(digests: bool):
+    def join(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        row = docs.to_pylist()[0]
+        answers = answers.sort_by("part")
+        counts = [_unpack(c) for c in answers["counts"].to_pylist()]
+        n = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+        numbers = list(map(str, pc.list_flatten(answers["ids"]).to_pylist()))
+        pieces = [p for x, c in zip(answers["pieces"].to_pylist(), counts) if c.sum() for p in x.split(_SEP)]
+        id_text, piece_text, lo = [], [], 0
+        for m in n.tolist():
+            hi = lo + m
+            id_text.append(numbers[lo] if m == 1 else " ".join(numbers[lo:hi]))
+            piece_text.append(pieces[lo] if m == 1 else " ".join(pieces[lo:hi]))
+            lo = hi
+        del numbers, pieces
+        some = len(n) > 0 and n.min() == 0  # words without ids leave no space behind
+        at, lo, out = _unpack(row["at"]), 0, [[], [], [], []]
+        for doc_id, size in zip(row["ids"], row["sizes"]):
+            own = at[lo : lo + size]
+            lo += size
+            k = own.tolist()
+            ids, decoded = map(id_text.__getitem__, k), map(piece_text.__getitem__, k)
             if some:
                 ids, decoded = filter(None, ids), filter(None, decoded)
             both = (" ".join(x) for x in (ids, decoded))
             if digests:  # text by text: a block's ids and pieces needn't be held at once
                 both = (hashlib.sha256(x.encode()).hexdigest() for x in both)
-            rows.append((doc_id, int(total[rows_of].sum()) if rows_of else 0, *both))
-        return pd.DataFrame(rows, columns=["doc_id", "n_tokens", "ids", "decoded"]).rename(columns={"ids": "ids_sha256", "decoded": "decoded_sha256"} if digests else {})
+            for c, x in zip(out, (doc_id, int(n[own].sum()) if size else 0, *both)):
+                c.append(x)
+        names = ["doc_id", "n_tokens", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
+        return pa.table([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))], names=names)
 
     return join
 
 
+def pieces_of(spark: SparkSession, vocabulary: str) -> DataFrame:
+    """One row: one, and piece, the vocabulary's pieces in order of their ids (49,152 of them: under 1 MB, whatever the input)."""
+    tokenizer = load(vocabulary)
+    return spark.createDataFrame([(1, [tokenizer.id_to_token(i) or "" for i in range(tokenizer.get_vocab_size())])], "one int, piece array<string>")
+
+
 def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digests: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, ids (decimal, joined by a space), decoded (the decoder's text).
 
     With digests, ids_sha256 and decoded_sha256 stand for the last two. Null and empty texts have no tokens. Null and
     repeated doc_ids keep their rows. An empty table gives no rows. Other columns are not read.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = blocks_for(text_bytes(own), _BLOCK)
-    dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInPandas(_requests(blocks), "block int, part int, words binary")
-    answers = asked.groupBy("part").applyInPandas(_answers(vocabulary), "block int, part int, counts binary, ids binary")
+    size = text_bytes(docs)
+    parts = blocks_for(size, _PART)
+    words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "[\\x09-\\x0D\\x20]+"), lambda w: w != "")
+    split = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words.alias("words"))
+    blocks = split.mapInArrow(_blocks(parts), _BLOCK).repartition(blocks_for(size, _TASK), "block")
+    asked = blocks.mapInArrow(_requests, "block bigint, part int, words binary")
+    answers = asked.groupBy("part").applyInPandas(_answers(vocabulary), "block bigint, part int, counts binary, ids array<int>")
+    known = answers.withColumn("one", F.lit(1)).join(F.broadcast(pieces_of(docs.sparkSession, vocabulary)), "one")
+    told = known.select("block", "part", "counts", "ids", F.expr("array_join(transform(ids, i -> piece[i]), '\\n')").alias("pieces"))
     shape = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_joined(vocabulary, blocks, digests), shape)
+    return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_joined(digests), shape)
 
 
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions alone.
 
 A document is a weighted set: its words and how often each occurs. Sample j of term k has r and c from Gamma(2, 1) and b
-uniform, all drawn by hashing (k, j). With weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the term of
+uniform, all drawn by hashing (k, j): the hash's bits choose among equally likely cells of the distribution. With weight w, t = floor(ln w / r + b) and ln a = ln c - r (t - b + 1); the term of
 the least a, with its t, is the document's sample j. Two documents agree on a sample with a probability equal to the
 generalised Jaccard similarity of their weights, so the share of equal samples estimates it.
 
@@ -11,6 +11,9 @@ its terms are counted and its samples' least values taken without another shuffl
 
 from __future__ import annotations
 
+from functools import cache
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,43 +25,63 @@ _PART = 8 << 20
 _SPACES = "\t\n\x0b\x0c\r"
 
 
-def _uniform(h: str, low: bool) -> str:
-    return f"((({h} & 4294967295L) + 0.5D) * 2.3283064365386963E-10D)" if low else f"((shiftrightunsigned({h}, 32) + 0.5D) * 2.3283064365386963E-10D)"
+def _quantile(u: np.ndarray) -> np.ndarray:
+    """Quantiles of Gamma(2, 1), by halving."""
+    lo, hi = np.zeros(len(u)), np.full(len(u), 60.0)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        less = -np.expm1(-mid) - mid * np.exp(-mid) < u
+        lo, hi = np.where(less, mid, lo), np.where(less, hi, mid)
+    return (lo + hi) / 2
+
+
+_R, _CELLS = 4096, 65536  # entries of the tables below
+
+
+@cache
+def _tables() -> tuple[list[float], list[float], list[float]]:
+    """r, ln c and, for the lowest cell of c, ln c again, each at the middle of equally likely cells."""
+    middle = lambda n: (np.arange(n) + 0.5) / n
+    # below the first cell Gamma(2, 1) has the distribution function c^2 / 2
+    return _quantile(middle(_R)).tolist(), np.log(_quantile(middle(_CELLS))).tolist(), (0.5 * np.log(2 * middle(_CELLS) / _CELLS)).tolist()
 
 
-def draws(j: int) -> dict[str, str]:
-    """r, ln c and b of sample j for the column term, as SQL."""
-    x, y, z = f"xxhash64(term, {j})", f"xxhash64(term, {j}, 1)", f"xxhash64(term, {j}, 2)"
-    return {"r": f"(-ln({_uniform(x, True)} * {_uniform(x, False)}))", "c": f"ln(-ln({_uniform(y, True)} * {_uniform(y, False)}))", "b": _uniform(z, True)}
+def draws(h: str) -> dict[str, str]:
+    """r, ln c and b from the 64 bits of h, as SQL over the tables' columns: 12 bits, 16 (and 16 for the lowest cell), 20."""
+    cell = f"cast(shiftrightunsigned({h}, 12) & 65535L as int)"
+    return {"r": f"gamma_r[cast({h} & 4095L as int)]", "c": f"if({cell} = 0, gamma_low[cast(shiftrightunsigned({h}, 28) & 65535L as int)], gamma_c[{cell}])",
+            "b": f"((shiftrightunsigned({h}, 44) + 0.5D) * {2.0**-20!r}D)"}
 
 
 _LOW = 65535  # a sample's value is told by 16 bits: unequal ones agree by chance once in 65536
+_EACH = 16  # samples of one aggregation: more make functions that are too long to be compiled
 
 
-def _value(j: int) -> str:
-    """Sample j's value for one term of weight e^ln_w: the high bits order by a, the low ones tell term and t."""
-    d = draws(j)
-    t = f"floor(ln_w / {d['r']} + {d['b']})"
+def _least(h: str, ln_w: str) -> str:
+    """The sample's value for one term: the high bits order by a, the low 32 tell term and t."""
+    d = draws(h)
+    t = f"floor({ln_w} / {d['r']} + {d['b']})"
     a = f"({d['c']} - {d['r']} * ({t} - {d['b']} + 1D))"
-    return f"shiftleft(cast(({a} + 200D) * 4194304D as bigint), 32) | (xxhash64(term, {t}) & 4294967295L)"
+    return f"min(shiftleft(cast(({a} + 200D) * 4194304D as bigint), 32) | (xxhash64(term, {t}) & 4294967295L))"
 
 
 def signatures(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
     """Per group of keys, for each output column its samples: hexadecimal text, four digits a sample, empty without terms.
 
-    terms has the keys, term (bigint) and the weight columns; a term of weight 0 takes no part in that column. Two columns
-    in which a term weighs the same share its draws.
+    terms has the keys, term (bigint) and the weight columns; a term of weight 0 takes no part in that column. samples is a
+    multiple of 16. The tables of draws are a broadcast row of 1.1 MB whatever the input. If terms are dealt by one of the
+    keys, nothing is shuffled.
     """
-    (first, wa), *more = weights.items()
-    sides = [F.struct(F.col(wa).alias("w"), *((F.lit(True) if k == 0 else F.col(w) == F.col(wa)).alias(f"in_{out}") for k, (out, w) in enumerate(weights.items())))]
-    for k, (out, w) in enumerate(more):
-        own = F.struct(F.col(w).alias("w"), *(F.lit(o == out).alias(f"in_{o}") for o in weights))
-        sides.append(F.when(F.col(w) != F.col(wa), own))
-    each = terms.select(*keys, "term", F.inline(F.filter(F.array(*sides), lambda x: x["w"] > 0))).withColumn("ln_w", F.ln(F.col("w").cast("double")))
-    least = [F.expr(f"min(if(in_{out}, {_value(j)}, null))").alias(f"{out}_{j}") for j in range(samples) for out in weights]
-    found = each.groupBy(*keys).agg(*least)
+    known = terms.sparkSession.createDataFrame([(1, *_tables())], "one int, gamma_r array<double>, gamma_c array<double>, gamma_low array<double>")
+    sets = range(samples // _EACH)
+    logs = terms.select(*keys, "term", F.lit(1).alias("one"), *(F.when(F.col(w) > 0, F.ln(F.col(w).cast("double"))).alias(f"ln_{w}") for w in weights.values()))
+    each = logs.join(F.broadcast(known), "one").withColumn("part", F.explode(F.array(*map(F.lit, sets))))
+    least = [F.expr(_least(f"xxhash64(term, part, {j})", f"ln_{w}")).alias(f"{out}_{j}") for j in range(_EACH) for out, w in weights.items()]
+    found = each.groupBy(*keys, "part").agg(*least)
     code = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit(_LOW)))), 4, "0")
-    return found.select(*keys, *(F.coalesce(F.concat(*(code(f"{out}_{j}") for j in range(samples))), F.lit("")).alias(out) for out in weights))
+    some = found.select(*keys, "part", *(F.concat(*(code(f"{out}_{j}") for j in range(_EACH))).alias(out) for out in weights))
+    whole = some.groupBy(*keys).agg(*(F.max(F.when(F.col("part") == k, F.col(out))).alias(f"{out}_{k}") for k in sets for out in weights))
+    return whole.select(*keys, *(F.coalesce(F.concat(*(F.col(f"{out}_{k}") for k in sets)), F.lit("")).alias(out) for out in weights))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES):
