@@ -411,6 +411,45 @@ def test_substring_finds_all_repeats(docs, texts):
         assert r.kept_doc_id < r.doc_id and len(own & set(_shingles(texts[r.kept_doc_id]))) >= 0.79 * len(own)
 
 
+@pytest.mark.parametrize("words, edited, least", [(50, 0, 0.98), (80, 0, 0.99), (80, 0.02, 0.95), (150, 0.03, 0.95)])
+def test_substring_recall_by_length_and_edits(spark, words, edited, least):
+    """Passages of exactly 50 words and more, some with replaced words, in otherwise different texts."""
+    rng, rows, n = np.random.default_rng(words), [], 120
+    some = lambda k: [f"w{x}" for x in rng.integers(0, 1 << 40, k)]
+    alike = 0
+    for i in range(n):
+        passage = some(words)
+        copy = [f"v{x}" if rng.random() < edited else x for x in passage]
+        a, b = set(zip(*(passage[k:] for k in range(5)))), set(zip(*(copy[k:] for k in range(5))))
+        alike += len(a & b) >= 0.8 * len(b)
+        rows += [(2 * i, " ".join(some(40) + passage + some(40))), (2 * i + 1, " ".join(some(60) + copy + some(30)))]
+    found = {(r.doc_id, r.kept_doc_id) for r in substring.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found <= {(2 * i + 1, 2 * i) for i in range(n)} and len(found) >= least * alike
+
+
+def test_substring_rows_do_not_depend_on_the_task_layout(docs):
+    rows = [sorted(map(tuple, substring.passages(docs.repartition(k) if k else docs.coalesce(1)).collect())) for k in (0, 3, 8)]
+    assert rows[0] == rows[1] == rows[2]
+
+
+def test_interval_join_by_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        n = int(rng.integers(1, 40))
+        lo = rng.integers(0, 400, n)
+        hi, f = lo + substring.MIN_WORDS + rng.integers(0, 100, n), rng.integers(0, substring.HASHES, n)
+        want = [len({int(f[k]) for k in range(n) if min(hi[i], hi[k]) - max(lo[i], lo[k]) >= substring.MIN_WORDS}) >= 2 for i in range(n)]
+        assert substring.supported(f, lo, hi, 2).tolist() == want
+
+
+def test_substring_first_document_of_many(spark, monkeypatch):
+    """A group larger than one copy's pairs."""
+    monkeypatch.setattr(substring, "_PAIRS", 4)
+    shared = " ".join(f"s{i}" for i in range(70))
+    docs = spark.createDataFrame([(i, f"only{i} " + shared) for i in range(30)], "doc_id long, text string")
+    assert {(r.doc_id, r.kept_doc_id, r.n_words) for r in substring.passages(docs).collect()} == {(i, 0, 70) for i in range(1, 30)}
+
+
 def test_substring_first_document_holds_less(spark):
     rng, rows = np.random.default_rng(3), []
     words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
