@@ -66,7 +66,7 @@ def _least(h: str, ln_w: str) -> str:
 
 
 def signatures(terms: DataFrame, keys: list[str], weights: dict[str, str], samples: int = SAMPLES) -> DataFrame:
-    """Per group of keys, for each output column its samples: hexadecimal text, four digits a sample, empty without terms.
+    """Per group of keys, for each output column its samples: binary, two bytes a sample, empty without terms.
 
     terms has the keys, term (bigint) and the weight columns; a term of weight 0 takes no part in that column. samples is a
     multiple of 16. The tables of draws are a broadcast row of 1.1 MB whatever the input. If terms are dealt by one of the
@@ -81,13 +81,13 @@ def signatures(terms: DataFrame, keys: list[str], weights: dict[str, str], sampl
     code = lambda c: F.lpad(F.lower(F.hex(F.col(c).bitwiseAND(F.lit(_LOW)))), 4, "0")
     some = found.select(*keys, "part", *(F.concat(*(code(f"{out}_{j}") for j in range(_EACH))).alias(out) for out in weights))
     whole = some.groupBy(*keys).agg(*(F.max(F.when(F.col("part") == k, F.col(out))).alias(f"{out}_{k}") for k in sets for out in weights))
-    return whole.select(*keys, *(F.coalesce(F.concat(*(F.col(f"{out}_{k}") for k in sets)), F.lit("")).alias(out) for out in weights))
+    return whole.select(*keys, *(F.unhex(F.coalesce(F.concat(*(F.col(f"{out}_{k}") for k in sets)), F.lit(""))).alias(out) for out in weights))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES):
     """Share of equal samples; 1 if neither side has terms, 0 if one has none."""
-    same = sum((F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4)).cast("int") for j in range(samples)) / F.lit(float(samples))
-    return F.when((F.col(a) == "") & (F.col(b) == ""), F.lit(1.0)).when((F.col(a) == "") | (F.col(b) == ""), F.lit(0.0)).otherwise(same)
+    same = sum((F.substring(a, 2 * j + 1, 2) == F.substring(b, 2 * j + 1, 2)).cast("int") for j in range(samples)) / F.lit(float(samples))
+    return F.when((F.octet_length(a) == 0) & (F.octet_length(b) == 0), F.lit(1.0)).when((F.octet_length(a) == 0) | (F.octet_length(b) == 0), F.lit(0.0)).otherwise(same)
 
 
 def following(ids: DataFrame) -> DataFrame:
@@ -128,11 +128,12 @@ def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     words = pieces.select("k", "th", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.explode(F.split("p.s", " ")).alias("w")).where("w <> ''")
     terms = words.select("k", "th", F.xxhash64("w").alias("term"), "a", "b").groupBy("k", "th", "term").agg(F.sum("a").alias("wa"), F.sum("b").alias("wb"))
     sig = signatures(terms, ["k", "th"], {"sa": "wa", "sb": "wb"}, samples)
-    facts = cut.select("k", "th", "n", "nth", F.sha2(F.concat("kept", "lent"), 256).alias("edited_sha256"))
-    known = staged(facts.join(sig.select(F.col("k").alias("sk"), F.col("th").alias("sth"), "sa", "sb"), (F.col("k") == F.col("sk")) & (F.col("th") == F.col("sth")), "left").drop("sk", "sth").na.fill("", ["sa", "sb"]), "cws-known")
+    facts = cut.select("k", "th", "n", "nth", F.unhex(F.sha2(F.concat("kept", "lent"), 256)).alias("edited_sha256"))
+    known = staged(facts.join(sig.select(F.col("k").alias("sk"), F.col("th").alias("sth"), "sa", "sb"), (F.col("k") == F.col("sk")) & (F.col("th") == F.col("sth")), "left").drop("sk", "sth").withColumns({c: F.coalesce(c, F.unhex(F.lit(""))) for c in ("sa", "sb")}), "cws-known")
     after = known.where("nth = 1").select(F.col("k").alias("nk"), F.col("sa").alias("sn"))
+    text = lambda c: F.lower(F.hex(c))
     full = known.join(then, "k").join(after, "nk").select(
-        F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("n").alias("n_chars"), "edited_sha256", F.col("sa").alias("fingerprint"), F.col("sb").alias("edited_fingerprint"),
+        F.col("k").alias("fk"), F.col("th").alias("fth"), F.col("n").alias("n_chars"), text("edited_sha256").alias("edited_sha256"), text("sa").alias("fingerprint"), text("sb").alias("edited_fingerprint"),
         likeness("sa", "sb", samples).alias("near_edited"), likeness("sa", "sn", samples).alias("near_next"))
     rows = own.select("k", "unnamed", F.xxhash64("text").alias("th"))
     return rows.join(full, (F.col("k") == F.col("fk")) & (F.col("th") == F.col("fth"))).select(
