@@ -450,6 +450,39 @@ def test_substring_first_document_of_many(spark, monkeypatch):
     assert {(r.doc_id, r.kept_doc_id, r.n_words) for r in substring.passages(docs).collect()} == {(i, 0, 70) for i in range(1, 30)}
 
 
+@pytest.mark.parametrize("phrase", [20, 40])
+def test_substring_splits_what_fails_against_the_first_document_of_a_hot_key(spark, phrase):
+    """All texts have one phrase; each but the first shares a longer passage around it with three others."""
+    rng = np.random.default_rng(9)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+    common = some(phrase)
+    rows = [(0, " ".join([*some(60), *common, *some(60)]))]
+    for group in range(20):
+        before, after = (some(40), []) if group % 3 == 0 else ([], some(40)) if group % 3 == 1 else (some(20), some(20))
+        rows += [(1 + 4 * group + k, " ".join([*some(30), *before, *common, *after, *some(30)])) for k in range(4)]
+    want = {(1 + 4 * g + k, 1 + 4 * g, phrase + 40) for g in range(20) for k in (1, 2, 3)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for hot in (5, 30, substring.HOT):
+        found = {(r.doc_id, r.kept_doc_id, r.n_words) for r in substring.passages(docs, hot).collect()}
+        assert want <= found  # others of a group may link as well, never two groups
+        assert all((i - 1) // 4 == (k - 1) // 4 and k for i, k, _ in found)
+
+
+def test_substring_splits_groups_that_agree_beyond_the_first_document_again(spark):
+    """A nest of phrases: the parts that fail against the first document agree further among themselves."""
+    rng = np.random.default_rng(10)
+    some = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 30, n)]
+    inner, outer, rows = some(20), some(15), []
+    rows.append((0, " ".join([*some(60), *inner, *some(60)])))
+    for group in range(12):
+        own = some(40)
+        rows += [(1 + 2 * group + k, " ".join([*some(60), *inner, *outer, *own, *some(30)])) for k in range(2)]  # 35 words are in all
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (2, 6):
+        found = {(r.doc_id, r.kept_doc_id, r.n_words) for r in substring.passages(docs, hot).collect()}
+        assert {(2 + 2 * g, 1 + 2 * g, 75) for g in range(12)} <= found
+
+
 def test_substring_first_document_holds_less(spark):
     rng, rows = np.random.default_rng(3), []
     words = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
