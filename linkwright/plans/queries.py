@@ -137,12 +137,14 @@ def key_pass_nospace_num(spark: SparkSession, d: str) -> DataFrame:
     return _key(_partk(spark, d), "k_nosp_num", ["name_nosp", "num1"], (20, 200))
 
 
-def _tfidf_sql(tokens: str, min_df: int = 1) -> str:
-    return f"""tk AS (SELECT country, id, is_q, unnest({tokens}) AS token FROM doc), tf AS (SELECT country, id, is_q, token, count(*) c FROM tk GROUP BY ALL),
- nn AS (SELECT country, count(*) n FROM doc GROUP BY 1), dfs AS (SELECT country, token, count(*) df FROM tf GROUP BY 1, 2 HAVING count(*) BETWEEN {min_df} AND {blocking.MAX_DF}),
- x AS (SELECT country, id, is_q, token, (1 + ln(c)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS x FROM tf JOIN dfs USING (country, token) JOIN nn USING (country)),
- w AS (SELECT country, id, is_q, token, x / sqrt(sum(x * x) OVER (PARTITION BY country, id)) AS w FROM x),
- sc AS (SELECT q.id qi, p.id pi, round(sum(q.w * p.w), 9) AS score FROM w q JOIN w p ON q.country = p.country AND q.token = p.token AND q.is_q AND NOT p.is_q GROUP BY 1, 2)"""
+def _tfidf_sql(tokens: str, min_df: int = 1, view: str = "doc", end: str = "", max_df: int = blocking.MAX_DF) -> str:
+    """Scored pairs sc<end> of a view's records by the cosine of their tokens' weights w<end>."""
+    tk, tf, nn, dfs, x, w, sc = (f"{n}{end}" for n in ("tk", "tf", "nn", "dfs", "x", "w", "sc"))
+    return f"""{tk} AS (SELECT country, id, is_q, unnest({tokens}) AS token FROM {view}), {tf} AS (SELECT country, id, is_q, token, count(*) c FROM {tk} GROUP BY ALL),
+ {nn} AS (SELECT country, count(*) n FROM {view} GROUP BY 1), {dfs} AS (SELECT country, token, count(*) df FROM {tf} GROUP BY 1, 2 HAVING count(*) BETWEEN {min_df} AND {max_df}),
+ {x} AS (SELECT country, id, is_q, token, (1 + ln(c)) * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS x FROM {tf} JOIN {dfs} USING (country, token) JOIN {nn} USING (country)),
+ {w} AS (SELECT country, id, is_q, token, x / sqrt(sum(x * x) OVER (PARTITION BY country, id)) AS w FROM {x}),
+ {sc} AS (SELECT q.id qi, p.id pi, round(sum(q.w * p.w), 9) AS score FROM {w} q JOIN {w} p ON q.country = p.country AND q.token = p.token AND q.is_q AND NOT p.is_q GROUP BY 1, 2)"""
 
 
 _WORDS = r"regexp_extract_all(lower(name || ' ' || addr), '\S+')"
@@ -162,8 +164,9 @@ def tfidf_postings(spark: SparkSession, d: str) -> DataFrame:
     return _post(spark, d).select("country", "id", "is_q", "token", F.round("w", 6).alias("w"))
 
 
-def _top_sql(name: str, k: int, by: str, tie: str) -> str:
-    return f"SELECT qi, pi, round(score, 6) AS {name}_score, (r - 1)::INT AS {name}_rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {tie}) AS r FROM sc) WHERE r <= {k}"
+def _top_sql(name: str, k: int, by: str, tie: str, scored: str = "sc") -> str:
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {tie}) AS r FROM {scored}"
+    return f"SELECT qi, pi, round(score, 6) AS {name}_score, (r - 1)::INT AS {name}_rank FROM ({ranked}) WHERE r <= {k}"
 
 
 @query(f"WITH {DOC}, {_tfidf_sql(_WORDS)} {_top_sql('comb', 50, 'qi', 'pi')}")
@@ -203,7 +206,33 @@ def name_freq_relative(spark: SparkSession, d: str) -> DataFrame:
     return blocking.name_frequency(doc(spark, d))
 
 
-@query()
+#: PARTX normalised, with the columns that keys and text views use.
+_REC = f"""{PARTX}, {_ADDR}, c AS (SELECT id, {_CLEAN} AS s FROM partx),
+ nm AS (SELECT id, array_to_string({_tokens_sql(f'replace({_SPLIT}, chr(1), chr(32))')}, ' ') AS name_norm, {_core_sql(f'replace({_SPLIT}, chr(1), chr(32))')} AS name_core FROM c),
+ an AS (SELECT id, addr_state, array_to_string(toks, ' ') AS addr_norm, list_filter(toks, lambda t: regexp_full_match(t, '[0-9]+')) AS nums FROM t),
+ rec AS MATERIALIZED (SELECT id, country, is_q, name_norm, name_core, addr_norm, addr_state, array_to_string(list_filter(nums, lambda x, i: list_position(nums, x) = i), ' ') AS addr_nums,
+  coalesce(nums[1], '') AS num1, array_to_string(list_sort(string_split(name_core, ' ')), ' ') AS name_sorted, replace(name_core, ' ', '') AS name_nosp FROM partx JOIN nm USING (id) JOIN an USING (id))"""
+_VIEWS = {"comb": "name_core || ' ' || addr_norm", "addr": "addr_norm", "nameaddr": "'n_' || replace(name_core, ' ', '_') || ' ' || addr_norm", "name_nospace": "name_nosp"}
+
+
+def _candidates_sql() -> str:
+    scored, passes = {}, {}
+    for name, (kind, what, k, direction) in blocking.PASSES.items():
+        if kind == "key":
+            passes[name] = _key_sql("rec", what, *k, name)
+            continue
+        grams = "list_transform(generate_series(1, length(name_nosp) - 3), lambda i: substr(name_nosp, i, 4))"
+        tokens, least = (grams, 2) if kind == "char" else (rf"regexp_extract_all(lower({_VIEWS[what]}), '\S+')", 1)
+        scored[what] = _tfidf_sql(tokens, least, "rec", f"_{what}")
+        by, tie = ("pi", "qi") if direction == "reverse" else ("qi", "pi")
+        passes[name] = _top_sql(name, k, by, tie, f"sc_{what}")
+    each = ", ".join(f"pass_{n} AS ({sql})" for n, sql in passes.items())
+    joined = " FULL JOIN ".join(f"pass_{n}" + (" USING (qi, pi)" if i else "") for i, n in enumerate(passes))
+    count = " + ".join(f"({n}_score IS NOT NULL)::INT" for n in passes)
+    return f"WITH {_REC}, {', '.join(scored.values())}, {each} SELECT *, {count} AS n_passes FROM {joined}"
+
+
+@query(_candidates_sql())
 def generate_candidates(spark: SparkSession, d: str) -> DataFrame:
     """All ten passes over normalised records; scores of one text serve both directions."""
     return blocking.generate(_normal(spark, d))
@@ -251,16 +280,114 @@ def _view(r: DataFrame) -> DataFrame:
     return features.pair_view(pairs, r)
 
 
-@query()
+def _lcs_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence: one list after another, each made of the last."""
+    cell = "greatest(made[-1], line[y[2] + 1], CASE WHEN y[1] = x[1] THEN line[y[2]] + 1 ELSE 0 END)"
+    line = f"list_reduce(list_transform(string_split({b}, ''), lambda v, k: [unicode(v), k]), lambda made, y: list_append(made, {cell}), [0])"
+    return f"list_reduce(list_transform(string_split({a}, ''), lambda u: [unicode(u), 0]), lambda line, x: {line}, list_resize([0], length({b}) + 1, 0))[-1]"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} = {b} THEN 100.0 WHEN {a} = '' OR {b} = '' THEN 0.0 ELSE 200.0::DOUBLE * {_lcs_sql(a, b)} / (length({a}) + length({b})) END"
+
+
+def _stretch_sql(a: str, b: str) -> str:
+    """The best ratio of a with any stretch of b that is no longer than a."""
+    stretch = f"substr({b}, greatest(0, h - length({a})) + 1, least(h, length({b})) - greatest(0, h - length({a})))"
+    return f"list_max(list_transform(generate_series(1, length({a}) + length({b}) - 1), lambda h: {_ratio_sql(a, stretch)}))"
+
+
+def _partial_sql(a: str, b: str) -> str:
+    either = f"greatest({_stretch_sql(a, b)}, CASE WHEN length({a}) = length({b}) THEN {_stretch_sql(b, a)} END)"
+    return f"CASE WHEN {a} = {b} THEN 100.0 WHEN {a} = '' THEN 0.0 WHEN contains({b}, {a}) THEN 100.0 ELSE {either} END"
+
+
+def _alike_sql(source: str, a: str, b: str, name: str) -> str:
+    """CTE name(a, b, ratio, pratio, tsort, tset, jw): measures of each two strings of a source once."""
+    text = "array_to_string(list_sort({}), ' ')".format
+    words = "list_filter(string_split({}, ' '), lambda t: t <> '')".format
+    return f"""{name}_1 AS (SELECT a, b, {text(words('a'))} AS sa, {text(words('b'))} AS sb, list_distinct({words('a')}) AS x, list_distinct({words('b')}) AS y,
+  CASE WHEN length(a) > length(b) THEN b ELSE a END AS less, CASE WHEN length(a) > length(b) THEN a ELSE b END AS more FROM (SELECT DISTINCT {a} AS a, {b} AS b FROM {source})),
+ {name}_2 AS (SELECT *, {text('list_intersect(x, y)')} AS common, {text('list_filter(x, lambda t: NOT list_contains(y, t))')} AS l, {text('list_filter(y, lambda t: NOT list_contains(x, t))')} AS r FROM {name}_1),
+ {name}_3 AS (SELECT *, trim(common || ' ' || l) AS jl, trim(common || ' ' || r) AS jr FROM {name}_2),
+ {name} AS MATERIALIZED (SELECT a, b, {_ratio_sql('a', 'b')} AS ratio, {_ratio_sql('sa', 'sb')} AS tsort, jaro_winkler_similarity(a, b) AS jw, {_partial_sql('less', 'more')} AS pratio,
+  CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 WHEN common <> '' AND (l = '' OR r = '') THEN 100.0
+   ELSE greatest({_ratio_sql('jl', 'jr')}, CASE WHEN common <> '' THEN 200.0 * length(common) / (2 * length(common) + 1 + least(length(l), length(r))) END) END AS tset FROM {name}_3)"""
+
+
+_PAIRS = f"""{_REC}, k AS ({_key_sql('rec', ['addr_nums'], 20, 200, 'k')}), v AS MATERIALIZED (SELECT qi, pi, {', '.join(f'{e}.{c} AS {c}_{e}' for e in 'qc' for c in ('name_norm', 'name_core', 'addr_norm', 'addr_nums', 'addr_state'))}
+ FROM k JOIN rec q ON q.id = qi JOIN rec c ON c.id = pi), {_alike_sql('v', 'name_core_q', 'name_core_c', 'nm_like')}, {_alike_sql('v', 'addr_norm_q', 'addr_norm_c', 'ad_like')}"""
+_LIKED = "v JOIN nm_like n ON n.a = name_core_q AND n.b = name_core_c JOIN ad_like d ON d.a = addr_norm_q AND d.b = addr_norm_c"
+
+
+def _feature_sql() -> str:
+    legal = f"array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(name_norm_{{0}}, ' '), lambda t: element_at({_map(V.LEGAL)}, t)[1]), lambda x: x IS NOT NULL))), ' ')"
+    street = r"trim(regexp_replace(regexp_replace(addr_norm_{0}, '\b\d+\b', '', 'g'), '\s+', ' ', 'g'))"
+    made = {"legal": legal, "bare": "replace(name_core_{0}, ' ', '')", "street": street, "first": "split_part(addr_nums_{0}, ' ', 1)"}
+    more = ", ".join(f"{sql.replace('{0}', e)} AS {name}_{e}" for name, sql in made.items() for e in "qc")
+    liked = {"nm_like": "name_core", "ad_like": "addr_norm", "full_like": "name_norm", "bare_like": "bare", "street_like": "street", "first_like": "first"}
+    extra = ", ".join(_alike_sql("u", f"{c}_q", f"{c}_c", n) for n, c in liked.items() if n not in ("nm_like", "ad_like"))
+    joins = " ".join(f"JOIN {n} ON {n}.a = {c}_q AND {n}.b = {c}_c" for n, c in liked.items())
+    sets = []
+    for column, prefix in (("name_core", "ntok"), ("addr_norm", "atok"), ("addr_nums", "num"), ("legal", "lg")):
+        x, y = _SET.format(f"{column}_q"), _SET.format(f"{column}_c")
+        sets += [f"len(list_intersect({x}, {y}))::INT AS {prefix}_inter", f"len({x})::INT AS {prefix}_len_q", f"len({y})::INT AS {prefix}_len_c"]
+    share = lambda p, q, name: f"round({p} / nullif({q}, 0)::DOUBLE, 6) AS {name}"
+    shares = [share(f"{p}_inter", f"({p}_len_q + {p}_len_c - {p}_inter)", "legal_jacc" if p == "lg" else f"{p}_jacc") for p in ("ntok", "atok", "num", "lg")]
+    shares += [share(f"{p}_inter", f"{p}_len_{e}", f"{p}_cont_{e}") for p in ("ntok", "atok", "num") for e in "qc"]
+    flag = lambda test, name: f"({test})::INT::DOUBLE AS {name}"
+    when = lambda a, b, value, name: f"CASE WHEN {a} <> '' AND {b} <> '' THEN {value} END AS {name}"
+    both_first = lambda value, name: when("first_q", "first_c", value, name)
+    columns = [
+        *(f"round({t}.{m}, 6) AS {name}" for t, m, name in (
+            ("nm_like", "tset", "c_n_tset"), ("nm_like", "ratio", "c_n_ratio"), ("ad_like", "tset", "c_a_tset"), ("ad_like", "ratio", "c_a_ratio"), ("full_like", "tsort", "nfull_tsort"),
+            ("street_like", "tset", "aw_tset"), ("bare_like", "ratio", "n_nospace_ratio"), ("bare_like", "pratio", "n_nospace_pratio"), ("nm_like", "jw", "n_jw"),
+            *((t, m, f"{e}_{m}") for t, e in (("nm_like", "n"), ("ad_like", "a")) for m in ("ratio", "pratio", "tsort", "tset")))),
+        both_first("(first_q = first_c)::INT::DOUBLE", "c_num1_eq"), both_first("(first_q = first_c)::INT::DOUBLE", "num_first_eq"), both_first("levenshtein(first_q, first_c)::INT", "num_first_lev"),
+        both_first("round(first_like.pratio, 6)", "num_first_pfx"), both_first("abs(first_q::DOUBLE - first_c::DOUBLE)", "num_first_absdiff"),
+        flag("addr_norm_c = ''", "c_a_empty"), flag("addr_norm_c = ''", "a_empty_c"), flag("addr_norm_q = ''", "a_empty_q"), flag("name_core_c = ''", "n_empty_c"),
+        "levenshtein(name_core_q, name_core_c)::INT AS n_lev", flag("string_split(name_core_q, ' ')[-1] = string_split(name_core_c, ' ')[-1]", "n_last_eq"),
+        flag("split_part(name_core_q, ' ', 1) = split_part(name_core_c, ' ', 1)", "n_first_eq"), flag("legal_q <> '' AND legal_c <> ''", "legal_both"), flag("legal_q <> '' OR legal_c <> ''", "legal_any"),
+        flag("legal_q = '' AND legal_c <> ''", "legal_only_c"), flag("legal_q <> '' AND legal_c = ''", "legal_only_q"), when("legal_q", "legal_c", "(legal_q = legal_c)::INT::DOUBLE", "legal_eq"),
+        when("addr_state_q", "addr_state_c", "(addr_state_q = addr_state_c)::INT::DOUBLE", "state_eq"), flag("pi % 2 = 1", "is_s3"), "count(*) OVER (PARTITION BY qi) AS g_size",
+        "row_number() OVER (PARTITION BY qi ORDER BY round(nm_like.tset + ad_like.tset, 9) DESC, pi) AS g_sim_rank", *sets]
+    corpus = f"""{_tfidf_sql(_SET.format('name_core').replace('list_distinct', ''), 1, 'rec', '_tn', 10**12)}, {_tfidf_sql(_SET.format('addr_norm').replace('list_distinct', ''), 1, 'rec', '_ta', 10**12)},
+ sz AS (SELECT country, count(*) AS pool FROM rec WHERE NOT is_q GROUP BY 1), fr AS (SELECT id, count(*) OVER (PARTITION BY country, name_core) AS freq, pool FROM rec LEFT JOIN sz USING (country)),
+ al AS (SELECT id, {_core_sql('part')} AS part FROM (SELECT id, unnest(string_split({_SPLIT}, chr(1))) AS part FROM c) WHERE trim(part) <> ''), ap AS (SELECT qi, pi, name_core_q, coalesce(part, '') AS part FROM v LEFT JOIN al ON al.id = pi),
+ {_alike_sql('ap', 'name_core_q', 'part', 'al_like')}, best AS (SELECT qi, pi, round(max(tsort), 6) AS n_alias_best FROM ap JOIN al_like ON a = name_core_q AND b = part GROUP BY 1, 2)"""
+    names = ", ".join(f"round(ln(1 + f{e}.freq), 6) AS n_freq_{e}, round(ln(1 + round(f{e}.freq::DOUBLE / f{e}.pool * 1e6, 6)), 6) AS n_freq_rel_{e}" for e in "qc")
+    return f"""WITH {_PAIRS}, u AS MATERIALIZED (SELECT *, {more} FROM v), {extra}, {corpus}, m AS (SELECT qi, pi, {', '.join(columns)} FROM u {joins})
+SELECT m.* EXCLUDE (lg_inter, lg_len_q, lg_len_c), {', '.join(shares)}, ntok_len_c - ntok_inter AS ntok_extra_c, ntok_len_q - ntok_inter AS ntok_missing_q, n_alias_best,
+ round(coalesce(n.score, 0), 6) AS n_tfidf, round(coalesce(d.score, 0), 6) AS a_tfidf, {names}
+FROM m JOIN best USING (qi, pi) LEFT JOIN sc_tn n USING (qi, pi) LEFT JOIN sc_ta d USING (qi, pi) JOIN fr fq ON fq.id = qi JOIN fr fc ON fc.id = pi"""
+
+
+@query(_feature_sql())
 def pair_feature_table(spark: SparkSession, d: str) -> DataFrame:
     """All pair features but those of the passes, over pairs that share their numbers."""
     r = _normal(spark, d)
-    return features.corpus_features(features.pair_features(features.cheap_features(_view(r))), r)
+    out = features.corpus_features(features.pair_features(features.cheap_features(_view(r))), r)
+    return out.select("qi", "pi", *(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes if t != "string" and c not in ("qi", "pi")))
 
 
-@query()
+@query(f"WITH {_PAIRS} SELECT qi, pi, " + ", ".join(f"round({e}.{m}, 6) AS {p}_{m}" for e, p in (("n", "n"), ("d", "a")) for m in ("ratio", "pratio", "tsort", "tset")) + f", round(n.jw, 6) AS n_jw FROM {_LIKED}")
+def pair_similarities(spark: SparkSession, d: str) -> DataFrame:
+    """Ratio, partial ratio, token-sort, token-set and Jaro-Winkler of names and addresses."""
+    return features.pair_features(_view(_normal(spark, d))).select("qi", "pi", *_r(*(f"{e}_{m}" for e in "na" for m in ("ratio", "pratio", "tsort", "tset")), "n_jw"))
+
+
+_OTHER = "coalesce(CASE WHEN rk = 1 THEN max(CASE WHEN rk = 2 THEN {0} END) OVER (PARTITION BY qi) ELSE max(CASE WHEN rk = 1 THEN {0} END) OVER (PARTITION BY qi) END, '')"
+
+
+@query(f"""WITH {_PAIRS}, f AS (SELECT v.*, n.tset + d.tset AS like_sum, row_number() OVER (PARTITION BY qi ORDER BY n.ratio DESC, pi) AS rk FROM {_LIKED}),
+ g AS (SELECT *, {_OTHER.format('name_core_c')} AS on_, {_OTHER.format('addr_norm_c')} AS oa, count(*) OVER (PARTITION BY qi) AS g_size, count(*) OVER (PARTITION BY qi, addr_norm_c) AS g_same_addr,
+  count(*) OVER (PARTITION BY qi, name_core_c) AS g_same_name, row_number() OVER (PARTITION BY qi ORDER BY round(like_sum, 9) DESC, pi) AS g_sim_rank FROM f),
+ {_alike_sql('g', 'name_core_c', 'on_', 'on_like')}, {_alike_sql('g', 'addr_norm_c', 'oa', 'oa_like')}
+SELECT qi, pi, CASE WHEN g_size > 1 THEN round(n.tsort, 6) END AS cvc_name, CASE WHEN g_size > 1 THEN round(d.tsort, 6) END AS cvc_addr, g_same_addr, g_same_name, g_size, g_sim_rank
+FROM g JOIN on_like n ON n.a = name_core_c AND n.b = on_ JOIN oa_like d ON d.a = addr_norm_c AND d.b = oa""")
 def group_context_sim(spark: SparkSession, d: str) -> DataFrame:
-    return features.group_features(features.cheap_features(_view(_normal(spark, d))), "c_n_ratio").select("qi", "pi", "cvc_name", "cvc_addr", "g_same_addr", "g_same_name", "g_size", "g_sim_rank")
+    out = features.group_features(features.cheap_features(_view(_normal(spark, d))), "c_n_ratio")
+    return out.select("qi", "pi", *_r("cvc_name", "cvc_addr"), "g_same_addr", "g_same_name", "g_size", "g_sim_rank")
 
 
 # ---- windows and decisions -----------------------------------------------------------------------------------------

@@ -241,3 +241,10 @@ def test_learned_components(spark):
 def test_letters_beyond_latin_1(spark):
     df = spark.createDataFrame([("Łódź Černý Győr Şişli Đà Nẵng ıİ ß",)], "t string")
     assert df.select(T.ascii_fold(F.col("t"))).first()[0] == "Lodz Cerny Gyor Sisli Da Nang iI ss"
+
+
+def test_other_scripts_become_latin(spark):
+    words = {"नमस्ते भारत": "nmste bhart", "ગુજરાત": "gujrat", "ಕರ್ನಾಟಕ": "krnatk", "প্রাইভেট লিমিটেড": "praibhet limited", "१२३": "123", "Москва Щука": "Moskva Shchuka",
+             "подъезд": "podezd", "Ελλάδα Αθήνα": "Ellada Athina", "Ќ": "K", "東京": "東京", "": "", "plain": "plain"}
+    df = spark.createDataFrame([*words.items(), (None, None)], "t string, want string")
+    assert [r for r in df.select(T.ascii_fold(F.col("t")).alias("got"), "want").collect() if r.got != r.want] == []
