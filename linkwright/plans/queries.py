@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import vocabulary as V
 from ..operators import audit, blocking, decide, features, models, records
 from ..sources import tables
+from ..sources.staging import scratch
 from . import linkage
 from .views import DOC, DOC_TRUTH, LI, LI_TRUTH, PART, PARTX, doc, doc_truth, li, li_truth, part, partx, table
 
@@ -35,6 +36,71 @@ def _r(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+# ---- sources and sinks ---------------------------------------------------------------------------------------------
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    names = F.concat(F.when(F.col("is_q"), "S1-").when(F.col("id") % 2 == 0, "S2-").otherwise("S3-"), F.col("id").cast("string"))
+    return partx(spark, d).select("id", "is_q", names.alias("entity_id"), F.col("name").alias("business_name"), F.when(F.col("id") % 11 != 0, F.col("addr")).alias("business_address"), "country")
+
+
+_RAW = PARTX + """, raw AS (SELECT id, is_q, CASE WHEN is_q THEN 'S1-' WHEN id % 2 = 0 THEN 'S2-' ELSE 'S3-' END || id AS entity_id, name AS business_name,
+ CASE WHEN id % 11 <> 0 THEN addr END AS business_address, country FROM partx)"""
+
+
+@query(f"WITH {_RAW} SELECT entity_id, business_name, coalesce(business_address, '') AS business_address, country FROM raw")
+def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Records as tab-separated text and back; missing values come back empty."""
+    path = scratch(spark, "records-tsv")
+    tables.write_tsv(_raw(spark, d).select("entity_id", "business_name", "business_address", "country"), path)
+    return tables.read_tsv(spark, path)
+
+
+@query(f"WITH {_RAW} SELECT entity_id, country, business_address IS NULL AS bare FROM raw")
+def partitioned_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Records in a folder for each country, read as parts with three columns."""
+    path = scratch(spark, "records-parts")
+    tables.write_parquet(_raw(spark, d), path, by="country")
+    return tables.read_parts(spark, path, columns=["entity_id", "country", "business_address"]).select("entity_id", "country", F.isnull("business_address").alias("bare"))
+
+
+#: Each query's partners: the pool's records of its country with its name.
+_MATES = """mates AS (SELECT q.id AS qi, c.id AS pi, 'S1-' || q.id AS s1, CASE WHEN c.id % 2 = 0 THEN 'S2-' ELSE 'S3-' END || c.id AS cand FROM partx q JOIN partx c
+ ON q.is_q AND NOT c.is_q AND q.country = c.country AND q.name = c.name)"""
+
+
+def _mates(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    raw = _raw(spark, d)
+    q, p = raw.where("is_q"), raw.where("not is_q")
+    pairs = q.select("country", "business_name", F.col("id").alias("qi")).join(p.select("country", "business_name", F.col("id").alias("pi")), ["country", "business_name"]).select("qi", "pi")
+    return pairs, q.select(F.col("id").alias("qi"), F.col("id").alias("at"), "entity_id"), p.select(F.col("id").alias("pi"), "entity_id")
+
+
+@query(f"""WITH {PARTX}, {_MATES}, l AS (SELECT qi, string_agg(cand, ',' ORDER BY cand) AS ids FROM mates GROUP BY 1)
+SELECT 'source1_entity_id' || chr(9) || 'matched_entity_ids' AS value UNION ALL SELECT 'S1-' || id || chr(9) || coalesce(ids, '') FROM partx LEFT JOIN l ON qi = id WHERE is_q""")
+def answer_file(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the answer file: a header, then each query with its sorted partners."""
+    pairs, queries, pool = _mates(spark, d)
+    path = scratch(spark, "answer-file")
+    tables.write_lists(queries, pairs, pool, path)
+    return tables.read_lines(spark, path)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{v}', {n})" for v, n in (
+    ("carriage return", 0), ("header missing or repeated", 0), ("not two columns", 0), ("repeated query", 0), ("repeated id in a list", 0), ("bad id", 0), ("unknown query", 0),
+    ("missing query", 0), ("unknown pool id", 0), ("wrong prefix", 0))) + ") AS t(violation, n)")
+def answer_file_violations(spark: SparkSession, d: str) -> DataFrame:
+    """The file-level checks of answer_file's lines, which must find nothing."""
+    _, queries, pool = _mates(spark, d)
+    return audit.file_violations(answer_file(spark, d), "matched_entity_ids", queries, pool)
+
+
+@query(f"WITH {PARTX}, {_MATES} SELECT s1, cand FROM mates")
+def truth_wide_to_long(spark: SparkSession, d: str) -> DataFrame:
+    """The answer file's lists as one row for each partner; empty lists give none."""
+    lines = answer_file(spark, d).where(~F.col("value").startswith("source1"))
+    parts = F.split("value", "\t")
+    return tables.truth_pairs(lines.select(parts[0].alias("source1_entity_id"), parts[1].alias("matched_entity_ids")))
+
+
 # ---- normalisation -------------------------------------------------------------------------------------------------
 _FOLD_SQL = "replace(replace(translate({}, '%s', '%s'), 'ß', 'ss'), 'œ', 'oe')" % V.FOLD
 

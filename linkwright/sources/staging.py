@@ -50,6 +50,13 @@ def is_done(spark: SparkSession, path: str) -> bool:
     return store.exists(target)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's name in the shared store; it goes when the process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    atexit.register(_forget_at_exit, spark, path)
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
@@ -57,9 +64,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     sooner by released().
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget_at_exit, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
