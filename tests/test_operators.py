@@ -120,6 +120,41 @@ def test_block_scores_equal_brute_force(spark):
         assert best[0] == best[1]
 
 
+def test_similar_equals_scored_pairs_with_copies_and_shared_ids(spark, monkeypatch):
+    r = random.Random(5)
+    texts = [" ".join(r.choices("abcdefghijklmnop", k=r.randrange(1, 9))) for _ in range(60)]
+    rows = [(i, c, i % 4 == 0, r.choice(texts)) for i in range(400) for c in ("x", "y") if (i + (c == "y")) % 2]
+    rows += [(8, "x", True, "a q q"), (9, "x", False, "a q"), (1000, "x", None, "a b"), (1001, "x", False, None), (1002, "x", True, ""), (1003, "only pool", False, "a"), (1004, None, True, "a")]
+    records = spark.createDataFrame(rows, "id long, country string, is_q boolean, t string")
+    tokens = blocking.words(F.col("t"))
+    want = blocking.scored_pairs(blocking.weights(records.where("country is not null"), tokens, 150, 2)).toPandas().sort_values(["qi", "pi"])
+    monkeypatch.setattr(blocking, "PACK", 300)
+    monkeypatch.setattr(blocking, "CELLS", 200)
+    for sizes in ({}, {"most": 7, "entries": 200}):
+        got = blocking.similar(records, tokens, None, None, 150, 2, **sizes).toPandas().sort_values(["qi", "pi"])
+        assert got[["qi", "pi"]].values.tolist() == want[["qi", "pi"]].values.tolist()
+        assert got.score.tolist() == pytest.approx(want.score.tolist(), abs=1e-8)
+        some = blocking.similar(records, tokens, 3, 2, 150, 2, **sizes)
+        pairs = some.toPandas()
+        assert len(pairs) < len(want) and not pairs.duplicated(["qi", "pi"]).any()
+        for k, reverse in ((3, False), (2, True)):
+            best = [sorted(tuple(x) for x in blocking.top_k(spark.createDataFrame(p), "s", k, reverse).collect()) for p in (pairs, want)]
+            assert [x[:2] for x in best[0]] == [x[:2] for x in best[1]]
+
+
+def test_many_copies_are_multiplied_once():
+    import numpy as np
+
+    n, seen = 4000, []
+    tokens, w, rows = np.tile(np.arange(3), n), np.full(3 * n, 3 ** -0.5), np.repeat(np.arange(n), 3)
+    cls, entries = blocking._classes((tokens, w, rows), n)
+    pool = blocking._Pool(np.arange(n), cls, entries)
+    pool.scores, scores = lambda out, *a: (seen.append(out.shape), scores(out, *a)), pool.scores
+    i, j, s = blocking._product(blocking._Side(np.arange(n), cls, entries), pool, 2, 1)
+    assert seen == [(1, 1)] and len(s) == 2 * n + n - 2 and set(s) == {1.0}
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted({(k, x) for k in range(n) for x in (0, 1)} | {(0, k) for k in range(n)})
+
+
 def test_char_grams_short_empty_null_and_wide(spark):
     texts = [None, "", "abc", "ABCD", "aé\U0001f600bcd"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", blocking.char_grams(F.col("t")).alias("g"))
