@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,6 +246,21 @@ def test_stage_folders(spark, tmp_path):
     assert staging.folder_bytes(spark, path) == 0
 
 
+def test_a_stage_leaves_no_shuffle_files(spark):
+    from linkwright.sources import staging
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", disk.getAllBlocks().mkString(" ")))
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    df = spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count()
+    rows = staging.staged(df, "freed")
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) == setting
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, df.collect()))
+
+
 def test_votes_of_kept_models_on_their_own_pool(spark):
     df = spark.createDataFrame([(1, 1, 1, 0.7, 0.0, 0.9, 3), (1, 2, 0, 0.1, 0.2, 0.8, 2)], "qi long, pi long, in_second int, comb_score double, k_name_score double, L_s0 double, n_passes int").withColumn("s0", F.lit(0.5))
     row = pools.earlier_view(df).collect()
