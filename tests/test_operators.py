@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import similarity as S
 from linkwright.functions import text as T
 from linkwright.operators import audit, blocking, decide, features, models, pools, records
-from linkwright.sources import tables
+from linkwright.sources import staging, tables
 
 
 def test_names_and_addresses(spark):
@@ -144,6 +144,21 @@ def test_similar_equals_scored_pairs_with_copies_and_shared_ids(spark, monkeypat
             assert [x[:2] for x in best[0]] == [x[:2] for x in best[1]]
 
 
+def test_kept_pairs_do_not_grow_with_the_rounds(spark):
+    r = random.Random(7)
+    rows = [(i, "x", i % 4 == 0, " ".join(r.choices("abcdefgh", k=6))) for i in range(480)]
+    records = spark.createDataFrame(rows, "id long, country string, is_q boolean, t string").repartition(12, "id")
+    tokens = blocking.words(F.col("t"))
+    every = staging.staged(blocking.scored_pairs(blocking.weights(records, tokens)), "every")
+    for forward, reverse in ((3, None), (None, 2), (3, 2)):
+        some = blocking.similar(records, tokens, forward, reverse, entries=1)  # a round for each block of the pool
+        if not reverse:
+            assert some.count() <= 3 * 120 * (blocking.FEW + 1)
+        for k, back in ((forward, False), (reverse, True)):
+            best = [sorted((x.qi, x.pi, x[3]) for x in blocking.top_k(p, "s", k, back).collect()) for p in (some, every) if k]
+            assert not k or best[0] == best[1]
+
+
 def test_many_copies_are_multiplied_once():
     import numpy as np
 
@@ -247,8 +262,6 @@ def test_stage_folders(spark, tmp_path):
 
 
 def test_a_stage_leaves_no_shuffle_files(spark):
-    from linkwright.sources import staging
-
     disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
     files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", disk.getAllBlocks().mkString(" ")))
     before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
