@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import numpy as np
@@ -501,6 +502,24 @@ def test_substring_passage_around_a_replaced_stretch():
     assert substring.shared_passages(substring.tokens(a, hashes), substring.tokens(b, hashes)) == [(0, 90)]
 
 
+def test_substring_compares_two_texts_in_little_time():
+    r = np.random.default_rng(3)
+    b = r.integers(0, 1 << 63, 200).astype(np.uint64)
+    texts = [np.where(r.random(n) < share, r.choice(b, n), r.integers(0, 1 << 63, n).astype(np.uint64)) for n in (0, 1, 90, 300) for share in (0, 0.1, 0.9, 1)]
+    for a in texts:
+        assert substring._common(a, b).tolist() == np.flatnonzero(np.isin(a, b)).tolist() and not len(substring._common(a, b[:0]))
+    took = {}
+    for f in (substring.shared_passages, lambda a, b: np.flatnonzero(np.isin(a, b))):
+        times = []
+        for _ in range(15):
+            began = time.perf_counter()
+            for _ in range(20):
+                f(texts[9], b)
+            times.append(time.perf_counter() - began)
+        took[f] = min(times)
+    assert took[substring.shared_passages] < 0.7 * max(took.values())
+
+
 def test_substring_near_finds_all_that_share():
     rng = np.random.default_rng(4)
     pool = [rng.integers(0, 1 << 60, 60).astype(np.uint64) for _ in range(4)]
