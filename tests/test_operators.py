@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from linkwright.functions import similarity as S
 from linkwright.functions import text as T
 from linkwright.operators import audit, blocking, decide, features, models, pools, records
+from linkwright.plans import linkage
 from linkwright.sources import staging, tables
 
 
@@ -313,3 +314,42 @@ def test_other_scripts_become_latin(spark):
              "подъезд": "podezd", "Ελλάδα Αθήνα": "Ellada Athina", "Ќ": "K", "東京": "東京", "": "", "plain": "plain"}
     df = spark.createDataFrame([*words.items(), (None, None)], "t string, want string")
     assert [r for r in df.select(T.ascii_fold(F.col("t")).alias("got"), "want").collect() if r.got != r.want] == []
+
+
+def test_similarities_of_many_pairs_are_those_of_one():
+    random.seed(5)
+    text = lambda: "".join(random.choice("aab cdé 😀1") for _ in range(random.choice([0, 1, 2, 5, 13, 40, 63, 64, 65, 90])))
+    pairs = [(text(), text()) for _ in range(1500)] + [(x, x[random.randint(0, 3):random.randint(0, 60)]) for x in (text() for _ in range(300))]
+    for one, many in S.MANY.items():
+        assert many(pairs).tolist() == [one(a, b) for a, b in pairs] and not len(many([]))
+
+
+def test_many_similarities_are_quicker_than_single_ones():
+    pairs = [(f"{i % 50} brand {i % 23} street {i % 50}b 10 avenue", f"{i % 41} brand {i % 19} street {i % 41}b tenth avenue") for i in range(4000)]
+    took = {}
+    for f, run in (("one", lambda: [S.partial_ratio(a, b) for a, b in pairs]), ("many", lambda: S._all(*zip(*pairs), S.partial_ratio))):
+        began = time.thread_time()
+        run()
+        took[f] = time.thread_time() - began
+    assert took["many"] < took["one"] / 2
+
+
+def test_fits_read_what_they_learn_from_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return float(x % 10)
+
+    d = spark.range(400).select((F.col("id") / 4).cast("long").alias("qi"), F.col("id").alias("pi"), (F.col("id") % 10 > 6).cast("int").alias("label"), F.udf(counted, "double")("id").alias("p"))
+    scored, fitted = models.out_of_fold(d, ["p"], "s", models.matcher(2, 2))
+    assert seen.value <= 400 and len(fitted) == 2
+    assert all((r.s > 0.5) == (r.label == 1) for r in scored.collect())
+
+
+def test_a_small_file_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(100).selectExpr("id", "concat('S1-', id) entity_id", "'Acme Co' business_name", "'1 Main St' business_address", "'us' country", "id % 4 = 0 is_q").coalesce(1).write.parquet(str(tmp_path / "r"))
+    raw = spark.read.parquet(str(tmp_path / "r"))
+    assert raw.rdd.getNumPartitions() == 1
+    assert records.dealt(raw).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert linkage.normalized(raw).count() == 100
