@@ -53,18 +53,16 @@ def _words(texts: list[str]) -> tuple[pa.Array, list[tuple[np.ndarray, np.ndarra
 
 
 def _asked(texts: list[str], parts: int) -> tuple[list[str], np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """A block's distinct words, part by part of the table, in an order that depends on the words alone; where each part's
-    list ends; and the portions of _words with places in this order."""
+    """A block's distinct words, sorted within each part of the table; where each part's list ends; and the portions of
+    _words with places in this order."""
     found, portions = _words(texts)
     words = found.to_numpy(zero_copy_only=False).tolist()
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    part = h % np.uint64(parts)
-    order = np.lexsort((h, part))
-    if (h[order][1:] == h[order][:-1]).any():  # equal hashes: the words themselves decide
-        order = np.array(sorted(range(len(words)), key=lambda i: (int(part[i]), int(h[i]), words[i])), np.int64)
+    part = (np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(parts)).astype(np.int64)
+    order = pc.array_sort_indices(found).to_numpy()  # neighbours share letters and ids: fewer bytes than in hash order
+    order = order[np.argsort(part[order], kind="stable")]
     rank = np.empty(len(words), np.int32)
     rank[order] = np.arange(len(words), dtype=np.int32)
-    return [words[i] for i in order.tolist()], np.cumsum(np.bincount(part.astype(np.int64), minlength=parts)), [(rank[at], sizes) for at, sizes in portions]
+    return [words[i] for i in order.tolist()], np.cumsum(np.bincount(part, minlength=parts)), [(rank[at], sizes) for at, sizes in portions]
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -155,11 +153,12 @@ def encode_decode(docs: DataFrame, vocabulary: str = VOCABULARY, digests: bool =
     """
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = blocks_for(text_bytes(own), _BLOCK)
+    parts = min(blocks, blocks // 4 + 4)  # fewer than blocks: a list stays long enough to compress when there are many
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInPandas(_requests(blocks), "block int, part int, words binary")
+    asked = dealt.groupBy("block").applyInPandas(_requests(parts), "block int, part int, words binary")
     answers = asked.groupBy("part").applyInPandas(_answers(vocabulary), "block int, part int, counts binary, ids binary")
     shape = "doc_id bigint, n_tokens bigint, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids string, decoded string")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_joined(vocabulary, blocks, digests), shape)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_joined(vocabulary, parts, digests), shape)
 
 
 def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

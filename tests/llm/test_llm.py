@@ -159,6 +159,16 @@ def test_bpe_block_of_odd_texts_equals_library():
             assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), tok.decode(want, skip_special_tokens=False))
 
 
+def test_bpe_lists_are_sorted_within_parts():
+    texts = [" the cat\tThe dog ", "", "été zoo 😀 the", "a b c d e f g h i j the"]
+    words, ends, portions = bpe._asked(texts, 3)
+    for lo, hi in zip([0, *ends], ends):
+        assert words[lo:hi] == sorted(words[lo:hi], key=str.encode)
+    assert set(words) == {w for t in texts for w in t.split()} and bpe._asked(texts[::-1], 3)[0] == words
+    assert [words[k] for at, _ in portions for k in at] == [w for t in texts for w in t.split()]
+    assert [n for _, sizes in portions for n in sizes] == [len(t.split()) for t in texts]
+
+
 def test_bpe_block_is_joined_by_columns():
     rng = np.random.default_rng(1)
     parts = ["th", "on", "er", "an", "in", "ed", "or", "es", "ti", "ou", "wh", "re", "sh", "al", "ly", "en"]
