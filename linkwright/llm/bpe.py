@@ -85,13 +85,19 @@ def _requests(parts: int):
     return ask
 
 
+@cache
+def _tokenizer(vocabulary: str):
+    """Loaded once for all parts that a Python worker answers."""
+    return load(vocabulary)
+
+
 def _answers(vocabulary: str):
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         raw = list(map(zstandard.ZstdDecompressor().decompress, pdf["words"]))
         sizes = [x.count(_SEP.encode()) + 1 for x in raw]
         asked = pc.split_pattern(pa.array([_SEP.encode().join(raw).decode()], pa.large_string()), _SEP).flatten().dictionary_encode()
         del raw
-        flat, counts = encode_words(load(vocabulary), asked.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat, counts = encode_words(_tokenizer(vocabulary), asked.dictionary.to_numpy(zero_copy_only=False).tolist())
         starts = np.cumsum(counts) - counts
         rows = []
         for block, k in zip(pdf["block"], np.split(asked.indices.to_numpy(), np.cumsum(sizes)[:-1])):
@@ -106,7 +112,7 @@ def _answers(vocabulary: str):
 @cache
 def _tokens(vocabulary: str) -> tuple[pa.Array, pa.Array]:
     """Every id as a number and as its piece."""
-    tokenizer = load(vocabulary)
+    tokenizer = _tokenizer(vocabulary)
     ids = range(tokenizer.get_vocab_size())
     return pa.array(map(str, ids), pa.large_string()), pa.array(map(tokenizer.id_to_token, ids), pa.large_string())
 

@@ -169,6 +169,14 @@ def test_bpe_lists_are_sorted_within_parts():
     assert [n for _, sizes in portions for n in sizes] == [len(t.split()) for t in texts]
 
 
+def test_bpe_loads_the_vocabulary_once_for_all_parts(monkeypatch):
+    loads = []
+    monkeypatch.setattr(bpe, "load", lambda v: loads.append(v) or wordbpe.load(v))
+    bpe._tokenizer.cache_clear()
+    assert len(bpe_answered(pd.DataFrame({"doc_id": [1], "text": ["a b c d e f g h i j k l m"], "block": 0}), 5)) > 2
+    assert loads == [wordbpe.VOCABULARY]
+
+
 def test_bpe_block_is_joined_by_columns():
     rng = np.random.default_rng(1)
     parts = ["th", "on", "er", "an", "in", "ed", "or", "es", "ti", "ou", "wh", "re", "sh", "al", "ly", "en"]
