@@ -36,3 +36,15 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["char4_topk"])
+def test_records_that_share_only_very_common_tokens_meet(spark, tmp_path, name):
+    ids = [0, 4, *(i for i in range(1, 26700) if i % 4)]
+    docs = pd.DataFrame({"doc_id": ids, "lang": "en", "text": [f"common\nx{i}" for i in ids]})
+    assert len(docs) > 20000
+    docs.to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(ORACLE_SQL[name]).df()
+    assert set(got.qi) == {0, 4} and rows(got) == rows(want)
