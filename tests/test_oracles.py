@@ -38,7 +38,7 @@ def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["char4_topk", "tfidf_topk_forward"])
+@pytest.mark.parametrize("name", ["char4_topk", "tfidf_topk_forward", "tfidf_topk_reverse"])
 def test_records_that_share_only_very_common_tokens_meet(spark, tmp_path, name):
     ids = [0, 4, *(i for i in range(1, 26700) if i % 4)]
     docs = pd.DataFrame({"doc_id": ids, "lang": "en", "text": [f"common\nx{i}" for i in ids]})
